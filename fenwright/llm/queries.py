@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert, mixing, packing, ppm, rules
+from . import hilbert, itq, mincut, mixing, packing, ppm, rules, shingle_join, weak
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -20,6 +20,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_weak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak.classify(_read(spark, sf_dir, "documents"))
+
+
+def op2_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mincut.main_text(_read(spark, sf_dir, "pages"))
+
+
 def op3_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.shard(_read(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
@@ -30,6 +38,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near(_read(spark, sf_dir, "embeddings"))
+
+
 def op7_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(_read(spark, sf_dir, "documents"))
 
@@ -46,6 +58,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (op3_hilbert, op4_mixing, op7_ppm, op8_rules, op9_packing)}
+def op10_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.groups(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+QUERIES = {q.__name__: q for q in (op1_weak, op2_mincut, op3_hilbert, op4_mixing, op6_itq, op7_ppm, op8_rules, op9_packing, op10_shingles)}
 
 ORACLE_SQL: dict[str, str] = {}
