@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert, itq, mincut, mixing, packing, ppm, rules, shingle_join, weak
+from . import hilbert, itq, lines, mincut, mixing, packing, ppm, rules, shingle_join, weak
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -38,6 +38,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(_read(spark, sf_dir, "documents")).select(
+        "doc_id", "_dedup.n_lines", "_dedup.n_removed", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32")
+    )
+
+
 def op6_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.near(_read(spark, sf_dir, "embeddings"))
 
@@ -62,6 +68,6 @@ def op10_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.groups(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {q.__name__: q for q in (op1_weak, op2_mincut, op3_hilbert, op4_mixing, op6_itq, op7_ppm, op8_rules, op9_packing, op10_shingles)}
+QUERIES = {q.__name__: q for q in (op1_weak, op2_mincut, op3_hilbert, op4_mixing, op5_lines, op6_itq, op7_ppm, op8_rules, op9_packing, op10_shingles)}
 
 ORACLE_SQL: dict[str, str] = {}
