@@ -150,7 +150,6 @@ def tokens(c: Column | str) -> Column:
     return F.filter(F.split(F.lower(col(c)), r"[^\p{L}\p{Nd}_]+"), lambda x: x != "")
 
 
-@F.udf("string", useArrow=True)
 def _lcs(a: str | None, b: str | None) -> str | None:
     if a is None or b is None:
         return None
@@ -175,4 +174,4 @@ def _lcs(a: str | None, b: str | None) -> str | None:
 
 def lcs(a: Column | str, b: Column | str) -> Column:
     """Longest common subsequence."""
-    return _lcs(col(a), col(b))
+    return F.udf(_lcs, "string", useArrow=True)(col(a), col(b))

@@ -147,10 +147,10 @@ def spell_candidates(s, d):
     return search.spelling(table(s, d, "documents"), "text", ["thsi"]).select("word", "candidate", F.round("score", 6).alias("score"))
 
 
-@query("select p_name as value, max(p_retailprice) as score from part where lower(p_name) like 'part%' group by 1 order by score desc, value limit 5")
+@query("select p_name as value, max(p_retailprice) as score from part where lower(p_name) like 'sma%' group by 1 order by score desc, value limit 5")
 def sug_prefix(s, d):
     e = table(s, d, "part").groupBy(F.col("p_name").alias("value")).agg(F.max("p_retailprice").alias("score"))
-    return search.suggest(e, "part")
+    return search.suggest(e, "sma")
 
 
 # sets
