@@ -124,10 +124,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3
     takes it, the row at the budget's end rounded to all or none, so texts stay whole."""
     chosen = plan(docs, weights, most, seed).groupBy(F.col("row_key").alias("_row")).agg(F.sum("copies").alias("_sum"), F.count("*").alias("_same"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    key = F.xxhash64(F.col("doc_id"), text)
+    held = docs.select(F.struct("*").alias("r"), F.xxhash64("doc_id", text).alias("k")).join(chosen, F.col("k") == F.col("_row"))
     # rows with equal doc_id and text are interchangeable; each takes an equal part, the first ones one more
-    held = docs.select("*", key.alias("_row_key")).join(chosen, F.col("_row_key") == F.col("_row"))
-    nth = F.row_number().over(Window.partitionBy("_row_key").orderBy(F.lit(1)))
-    share = F.expr("cast(_sum div _same as int) + if(_nth <= _sum % _same, 1, 0)")
-    counted = held.select("*", nth.alias("_nth")).select(*[F.col(c) for c in docs.columns], share.alias("_n"))
-    return counted.where("_n > 0").select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("_n").cast("int"))).alias("_i")).select(*docs.columns)
+    nth = F.row_number().over(Window.partitionBy("k").orderBy(F.lit(1)))
+    share = F.expr("cast(_sum div _same as int) + if(nth <= _sum % _same, 1, 0)")
+    counted = held.select("r", "_sum", "_same", nth.alias("nth")).select("r", share.alias("copies")).where("copies > 0")
+    return counted.select("r", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("i")).select(*[F.col("r").getField(c).alias(c) for c in docs.columns])
