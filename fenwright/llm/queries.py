@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert, itq, lines, mincut, mixing, packing, ppm, rules, shingle_join, weak
+from . import hilbert, itq, lines, mincut, mixing, oracles, packing, ppm, rules, shingle_join, weak
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -70,4 +70,4 @@ def op10_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {q.__name__: q for q in (op1_weak, op2_mincut, op3_hilbert, op4_mixing, op5_lines, op6_itq, op7_ppm, op8_rules, op9_packing, op10_shingles)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = oracles.ORACLE_SQL
