@@ -4,9 +4,12 @@ Documents with the same set of shingles form one class. Each class puts its
 shingles in a global order, rare ones first (by a table of hashed counts over all
 documents, whose size is fixed; the order of equal counts is the hash). Two
 sets can reach the similarity only if they share a shingle of their prefixes,
-so classes that meet in a prefix shingle, within the length bound, fall into one
-block: map tasks join what they hold themselves and send a shingle once, so a
-frequent shingle costs a row per task. The sets of blocks' classes are then
+and enough of them: what lies behind the shorter-reaching prefix adds no more than
+its length. Where few classes meet in a shingle, their pairs are counted and
+held against that bound; where many meet, they are chained in order of length,
+across the length bound not, and map tasks chain what they hold themselves, so a
+frequent shingle costs some rows per task. Pairs and chains make blocks. The sets
+of blocks' classes are then
 compared: inside tiles of bounded size, pairs come from the prefix index, pass
 the positional bound at their first shared shingle and a suffix bound (parity
 sketches of the sets, whose difference never exceeds the sets' difference), and are
@@ -24,6 +27,7 @@ are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,9 +39,10 @@ from pyspark.sql import functions as F
 from .common import binary_column, bitmap_of, cut, has_bit, hashes, release
 from .graph import components, in_groups, pairs_within
 
-RARITY_BITS = 18
+RARITY_BITS = 22
 CHUNK = 4096
 FLUSH = 1_500_000
+FEW = 4  # classes of a shingle that are paired; more are chained
 TILE, TILE_SHINGLES = 128, 500_000
 SKETCH_BITS = 1024
 MAP_BITS = 24  # of the fixed-size filter that spares reading sets of documents without a partner
@@ -80,6 +85,16 @@ def _slot(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - RARITY_BITS)).astype(np.int64)
 
 
+def _squeeze(counts: np.ndarray) -> bytes:
+    """Counts as bytes, in 1 or 4 bytes each, compressed."""
+    small = bool(counts.max(initial=0) < 256)
+    return bytes([small]) + zlib.compress(counts.astype("u1" if small else "<u4").tobytes(), 1)
+
+
+def _counts(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data[1:]), "u1" if data[0] else "<u4").astype(np.uint64)
+
+
 def _survey(docs: DataFrame, width: int) -> DataFrame:
     """Rows of documents (row_key, doc_id, class, n) and, a few per task, of the counts by hash (chunk, salt, data)."""
 
@@ -105,7 +120,7 @@ def _survey(docs: DataFrame, width: int) -> DataFrame:
             m, salt = len(parts), TaskContext.get().partitionId() % 16
             none = pa.nulls(m, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [none, none, none, none, pa.array(np.arange(m, dtype=np.int32)), pa.array(np.full(m, salt, np.int32)), pa.array([p.astype("<u4").tobytes() for p in parts], pa.binary())], schema=schema
+                [none, none, none, none, pa.array(np.arange(m, dtype=np.int32)), pa.array(np.full(m, salt, np.int32)), pa.array([_squeeze(p) for p in parts], pa.binary())], schema=schema
             )
 
     return docs.mapInArrow(run, "row_key long, doc_id long, class long, n long, chunk int, salt int, data binary")
@@ -115,16 +130,16 @@ def _rarity(survey: DataFrame) -> np.ndarray:
     """Counts by hash over all documents: 2 ** RARITY_BITS numbers for any input."""
 
     def add(t: pa.Table, first: np.ndarray) -> Iterator[pa.RecordBatch]:
-        x = np.stack([np.frombuffer(d, "<u4") for d in t.column("data").to_pylist()]).astype(np.uint64)
-        total = np.minimum(np.add.reduceat(x, first, axis=0), 0xFFFFFFFF).astype("<u4")
-        yield pa.RecordBatch.from_arrays([t.column("chunk").take(pa.array(first)).combine_chunks(), pa.array(np.zeros(len(first), np.int32)), pa.array([r.tobytes() for r in total], pa.binary())], names=["chunk", "salt", "data"])
+        x = np.stack([_counts(d) for d in t.column("data").to_pylist()])
+        total = np.minimum(np.add.reduceat(x, first, axis=0), 0xFFFFFFFF)
+        yield pa.RecordBatch.from_arrays([t.column("chunk").take(pa.array(first)).combine_chunks(), pa.array(np.zeros(len(first), np.int32)), pa.array([_squeeze(r) for r in total], pa.binary())], names=["chunk", "salt", "data"])
 
     some = survey.where("data is not null").select("chunk", "salt", "data")
     kinds = "chunk int, salt int, data binary"
     total = in_groups(in_groups(some, ["chunk", "salt"], add, kinds, 500), ["chunk"], add, kinds, 500).collect()
     out = np.zeros((1 << RARITY_BITS) // CHUNK * CHUNK, np.uint32).reshape(-1, CHUNK)
     for r in total:
-        out[r["chunk"]] = np.frombuffer(bytes(r["data"]), "<u4")
+        out[r["chunk"]] = _counts(bytes(r["data"]))
     return out.ravel()
 
 
@@ -167,38 +182,54 @@ def _chains(gram: np.ndarray, cls: np.ndarray, lo: np.ndarray, hi: np.ndarray, p
     return tuple(np.concatenate([x[alone], y]) for x, y in zip((gram, cls, lo, hi), out, strict=True)), c[head][merge], c[merge]
 
 
-_META = "kind int, a long, b long, lo int, hi int"
+_EDGE = -1
+_MERGED = 1 << 62
 
 
-def _meeting(kind: int, cols) -> pa.RecordBatch:
-    a, b, lo, hi = cols
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(a), kind, np.int32)), pa.array(a.view(np.int64)), pa.array(b), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["kind", "a", "b", "lo", "hi"]
-    )
+def _meeting(a: np.ndarray, b: np.ndarray, meta: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b), pa.array(meta)], names=["a", "b", "meta"])
 
 
-def _blocks(docs: DataFrame, rarity, width: int, percent: int) -> DataFrame:
-    """Edges (a, b) of classes that meet in a prefix shingle within the length bound; chains of meetings, not pairs."""
+def _split_few(gram: np.ndarray, barred: np.ndarray) -> np.ndarray:
+    """Whether each row's shingle has at most FEW rows, none of them barred."""
+    o = np.argsort(gram, kind="stable")
+    g = gram[o]
+    new = np.append(True, g[1:] != g[:-1]) if len(g) else np.zeros(0, bool)
+    group = np.cumsum(new) - 1
+    few = (np.bincount(group) <= FEW) & (np.bincount(group, weights=barred[o]) == 0) if len(g) else new
+    out = np.zeros(len(g), bool)
+    out[o] = few[group]
+    return out
+
 
-    def edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        if len(a):
-            e = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-            a, b = np.ascontiguousarray(e[:, 0]), np.ascontiguousarray(e[:, 1])
-        zero = np.zeros(len(a), np.int32)
-        return _meeting(1, (a, b, zero, zero))
+def _edges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(a):
+        return a, b
+    e = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+    return np.ascontiguousarray(e[:, 0]), np.ascontiguousarray(e[:, 1])
+
+
+def _blocks(docs: DataFrame, rarity, width: int, percent: int) -> DataFrame:
+    """Edges (a, b) of classes that may link or are chained; every pair that links is connected by them."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(shingle, class, length) of prefixes, (shingle, class, merged lengths) of chains, (class, class, _EDGE)."""
         counts, cache, seen = rarity.value, {}, set()
         grams, classes, sizes, held = [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held
             k = np.array(list(map(len, grams)))
-            n = np.repeat(np.array(sizes, np.int32), k)
-            rows, a, b = _chains(np.concatenate(grams), np.repeat(np.array(classes, np.int64), k), n, n, percent)
-            for at in range(0, len(rows[0]), 100_000):
-                yield _meeting(0, [x[at : at + 100_000] for x in rows])
-            yield edges(a, b)
+            n = np.repeat(np.array(sizes, np.int64), k)
+            g, c = np.concatenate(grams), np.repeat(np.array(classes, np.int64), k)
+            few = _split_few(g, np.zeros(len(g)))
+            for at in range(0, len(g), 200_000):
+                on = few[at : at + 200_000]
+                yield _meeting(g[at : at + 200_000][on], c[at : at + 200_000][on], n[at : at + 200_000][on])
+            rows, a, b = _chains(g[~few], c[~few], n[~few], n[~few], percent)
+            yield _meeting(rows[0], rows[1], rows[2] | rows[3] << 31 | _MERGED)
+            a, b = _edges(a, b)
+            yield _meeting(a, b, np.full(len(a), _EDGE))
             held = 0
             for x in (grams, classes, sizes):
                 x.clear()
@@ -222,14 +253,35 @@ def _blocks(docs: DataFrame, rarity, width: int, percent: int) -> DataFrame:
             yield from flush()
 
     def meet(t: pa.Table, first: np.ndarray) -> Iterator[pa.RecordBatch]:
-        kind, a, b, lo, hi = (t.column(c).to_numpy() for c in ("kind", "a", "b", "lo", "hi"))
-        x = kind == 0
-        _, p, q = _chains(a[x], b[x], lo[x], hi[x], percent)
-        p, q = np.concatenate([p, a[~x]]), np.concatenate([q, b[~x]])
-        e = edges(p, q)
-        yield pa.RecordBatch.from_arrays([e.column("a"), e.column("b")], names=["a", "b"])
-
-    return in_groups(docs.mapInArrow(emit, _META), ["kind", "a"], meet, "a long, b long", 100_000)
+        a, b, meta = (t.column(c).to_numpy() for c in ("a", "b", "meta"))
+        edge = meta == _EDGE
+        p, q = a[edge], b[edge]
+        g, c, meta = a[~edge], b[~edge], meta[~edge]
+        merged = meta >= _MERGED
+        low = meta & (1 << 31) - 1
+        high = np.where(merged, (meta ^ _MERGED) >> 31, meta)
+        few = _split_few(g, merged)
+        _, x, y = _chains(g[~few], c[~few], low[~few], high[~few], percent)
+        p, q = _edges(np.concatenate([p, x]), np.concatenate([q, y]))
+        pairs = np.zeros((0, 4), np.int64)
+        if few.any():
+            g, c, n = g[few], c[few], low[few]
+            o = np.argsort(g, kind="stable")
+            g, c, n = g[o], c[o], n[o]
+            start = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+            found = [np.stack([np.where(c[i] < c[j], i, j), np.where(c[i] < c[j], j, i)], 1) for i, j in pairs_within(start, len(g))]
+            if found:
+                i, j = np.concatenate(found).T
+                ok = (c[i] != c[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent)
+                pairs = np.stack([c[i], c[j], n[i], n[j]], 1)[ok]
+        pairs, shared = np.unique(pairs, axis=0, return_counts=True)
+        for x, y, n, m, k in ((*pairs.T, shared), (p, q, np.zeros(len(p), np.int64), np.zeros(len(p), np.int64), np.full(len(p), 1 << 40))):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v).astype(np.int64)) for v in (x, y, n, m, k)], names=["a", "b", "na", "nb", "shared"])
+
+    met = in_groups(docs.mapInArrow(emit, "a long, b long, meta long"), ["a"], meet, "a long, b long, na long, nb long, shared long", 200_000)
+    behind = lambda n: f"({percent} * {n} + 99) div 100 - 1"
+    least = F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent} - greatest({behind('na')}, {behind('nb')})")
+    return met.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("shared").alias("shared")).where(F.col("shared") >= least).select("a", "b")
 
 
 def _compare(t: pa.Table, first: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
@@ -309,7 +361,9 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     survey = cut(_survey(rows, width))
     rarity = spark.sparkContext.broadcast(_rarity(survey))
     slim = survey.where("data is null").select("row_key", "doc_id", "class", "n")
-    block = components(cut(_blocks(rows.select("text"), rarity, width, percent)))
+    meetings = cut(_blocks(rows.select("text"), rarity, width, percent))
+    release(spark)
+    block = components(meetings)
     reads = slim.where("class is not null").groupBy("class").agg(F.min("row_key").alias("read"), F.first("n").alias("n"))
     members = cut(block.join(reads, F.col("node") == F.col("class")).select("class", "read", "n", F.col("component").alias("block")))
     release(spark)
@@ -355,7 +409,7 @@ def keep_first(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
 
     text = F.col("text").cast("string")
     g = groups(docs, width, percent).groupBy(F.col("row_key").alias("_g_key")).agg(F.first("component_id").alias("_g_comp"), F.first("doc_id").alias("_g_doc"))
-    own = docs.select("*", F.xxhash64("doc_id", text).alias("_g_row"))
-    kept = own.join(g, F.col("_g_row") == F.col("_g_key")).where(F.col("_g_doc").eqNullSafe(F.col("_g_comp")))
-    first = kept.select("*", F.row_number().over(Window.partitionBy("_g_row").orderBy(F.lit(0))).alias("_g_nth")).where("_g_nth = 1")
-    return first.select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = docs.select(F.struct("*").alias("r"), F.xxhash64("doc_id", text).alias("k"))
+    kept = own.join(g, F.col("k") == F.col("_g_key")).where(F.col("_g_doc").eqNullSafe(F.col("_g_comp")))
+    first = kept.select("r", F.row_number().over(Window.partitionBy("k").orderBy(F.lit(0))).alias("nth")).where("nth = 1")
+    return first.select(*[F.col("r").getField(c).alias(c) for c in docs.columns])
