@@ -192,3 +192,43 @@ def test_sketches(spark):
     f = sketches.fingerprints(df, "item")
     assert sketches.fingerprint_count(f, df.limit(1), "item").first().n >= 5
     assert [r.n for r in sketches.top_k(df, "item", 3).collect()] == [5, 5, 5]
+
+
+def test_bitfield(spark):
+    from fenwright.functions import bitfield
+
+    df = spark.createDataFrame([("ab",)], "s string")
+    assert one(df, bitfield.get("s", "u8", 8)) == 98 and one(df, bitfield.get("s", "i4", 1)) == -4
+    assert one(df, bitfield.increment("s", "u8", 0, 200)["value"]) == (97 + 200) % 256
+    assert one(df, bitfield.increment("s", "i8", 0, 200, "SAT")["value"]) == 127
+    assert one(df, bitfield.increment("s", "i8", 0, 200, "FAIL")["value"]) is None
+    assert bytes(one(df, bitfield.put("s", "u8", 24, 65)["data"])) == b"ab\0A"
+
+
+def test_indexes(spark):
+    from fenwright.plans.indexes import Catalog, near, suggestions
+
+    t = spark.createDataFrame([(1, "alpha beta gamma", 3.0), (2, "alpha gamma beta", None), (3, "beta alpha", 1.0)], "id int, title string, rank double")
+    c = Catalog()
+    c.create("i", t, "id", search.Field("title", "TEXT"))
+    c.alter("i", search.Field("rank", "NUMERIC"))
+    c.alias("j", "i")
+    assert [r.id for r in c.search("j", "alpha", sort="rank", descending=True).collect()] == [1, 3, 2]
+    assert c.info("j").first().rows == 3 and c.names() == ["i"]
+    assert [r.id for r in near(t, "title", ["alpha", "beta"]).collect()] == [1]
+    assert sorted(r.id for r in near(t, "title", ["alpha", "beta"], slop=1, in_order=False).collect()) == [1, 2, 3]
+    log = spark.createDataFrame([("x", 5.0, None, False, 1), ("x", 2.0, "p", True, 2), ("y", 1.0, None, True, 3)], "value string, score double, payload string, incr boolean, seq int")
+    assert rows(suggestions(log).select("value", "score")) == [("x", 7.0), ("y", 1.0)]
+
+
+def test_folds(spark):
+    from fenwright.operators import folds
+
+    log = spark.createDataFrame([("k", 1, 5), ("k", 2, 7), ("k", 3, -2)], "key string, seq int, delta int")
+    assert rows(folds.bounded_counter(log, 0, 10)) == [("k", 3, 2)]
+    ops = [("k", 1, "acquire", "a", 0, 10), ("k", 2, "acquire", "b", 5, 10), ("k", 3, "acquire", "b", 10, 10), ("k", 4, "renew", "b", 15, 10)]
+    assert rows(folds.locks(spark.createDataFrame(ops, "key string, seq int, op string, owner string, now int, ttl int"))) == [("k", "b", 25, 2)]
+    i = spark.createDataFrame([("k", 1, "begin", None), ("k", 2, "commit", "r"), ("k", 3, "begin", None)], "key string, seq int, op string, result string")
+    assert rows(folds.idempotent(i)) == [("k", "committed", "r")]
+    q = spark.createDataFrame([("x", 1, "push", 0), ("x", 2, "pop", 50), ("y", 3, "push", 0), ("z", 4, "pop", 1), ("w", 5, "ack", 3)], "item string, seq int, op string, at int")
+    assert dict(rows(folds.queue_counts(folds.queue_states(q, 100, 60)))) == {"active": 1, "waiting": 2, "done": 1}
