@@ -267,6 +267,17 @@ def test_ppm(spark, docs, odd, monkeypatch, head):
     assert ppm.score(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 200])
+def test_ppm_scores_do_not_depend_on_the_grams_sent(spark, docs, most):
+    rows = [(r.doc_id, r.text[:900]) for r in docs.limit(40).collect()] + [(None, "é\x85ü  Qq"), (None, "é\x85ü  Qq"), (2, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for order in (2, 5):
+        want = sorted(((str(x[0]), x[1], x[5]) for x in by_hand(rows, order)))
+        got = sorted(((str(r.doc_id), r.n_tokens, r.score) for r in ppm.score(df, order=order, max_grams=most).collect()))
+        assert [x[:2] for x in got] == [x[:2] for x in want]
+        assert all(abs(a[2] - b[2]) <= 1e-5 * abs(b[2]) + 1e-6 for a, b in zip(got, want))
+
+
 # 8
 
 
