@@ -4,9 +4,10 @@ Rotations are learned (PCA, then alternating sign codes and Procrustes steps)
 so that the signs of the rotated vectors are balanced bits. Substrings of the
 codes are the keys of the tables; vectors that meet in a table are compared by
 cosine in double precision, each pair in the first table in which it meets. The
-substring length follows the logarithm of the largest group, and the number of
-tables follows from it so that a pair at the threshold is met with the wished
-probability; recall is thus the same at every size.
+number of tables follows from the substring length and from the angles at which pairs
+at the threshold are seen from the mean of the fit sample, so that such a pair is
+met with the wished probability; of the lengths, up to the logarithm of the
+largest group, the cheapest is taken. Recall is thus the same at every size.
 
 Equal vectors of a label form one class that is compared once. Large
 buckets are cut into tiles and tile pairs, so no task holds a bucket. Links are
@@ -34,6 +35,8 @@ from .graph import components, in_groups, local_roots, pairs_within
 #: Rows on which the rotations are fitted, chosen by hash.
 FIT_ROWS = 10_000
 TILE = 256
+#: What a row in a table costs, in comparisons, and the most tables looked at.
+ROW_COST, MOST_TABLES = 64, 1024
 
 
 def rotations(x: np.ndarray, count: int, rounds: int = 30, seed: int = 5) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -54,11 +57,29 @@ def rotations(x: np.ndarray, count: int, rounds: int = 30, seed: int = 5) -> tup
     return mean, out
 
 
-def plan_tables(largest: int, dims: int, cosine: float, found: float) -> tuple[int, int]:
-    """Bits of a key and number of tables for a largest label of so many vectors."""
-    bits = min(24, dims, max(4, round(math.log2(max(1, largest) / 4 + 1))))
-    agree = (1 - math.acos(cosine) / math.pi) ** bits
-    return bits, max(1, math.ceil(math.log(1 - found) / math.log(1 - agree)))
+def plan_tables(largest: int, dims: int, cosine: float, found: float, away: np.ndarray) -> tuple[int, int]:
+    """Bits of a key and number of tables for a largest label of so many vectors.
+
+    away: squared distances of unit vectors from the mean. A pair at the threshold is
+    seen from there at a wider angle; bits agree by that one. Fewer bits need
+    fewer tables with larger buckets; the cheapest pair is taken. No bits mean one table in which all meet.
+    """
+    away = away if len(away) else np.ones(1)
+    agree = 1 - np.arccos(np.clip(1 - (1 - cosine) / np.maximum(away, 1e-12), -1, 1)) / np.pi
+    best = (largest + ROW_COST, 0, 1)
+    for bits in range(1, min(24, dims, max(4, round(math.log2(max(1, largest) / 4 + 1)))) + 1):
+        met = agree**bits
+        misses = lambda tables: ((1 - met) ** tables).mean() > 1 - found  # noqa: B023, E731
+        low, high = 0, 1
+        while misses(high) and high < MOST_TABLES:
+            low, high = high, 2 * high
+        if misses(high):
+            continue
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (mid, high) if misses(mid) else (low, mid)
+        best = min(best, (high * (ROW_COST + largest / 2**bits), bits, high))
+    return best[1:]
 
 
 def near(vectors: DataFrame, cosine: float = 0.93, found: float = 0.995, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -88,9 +109,11 @@ def near(vectors: DataFrame, cosine: float = 0.93, found: float = 0.995, fit_row
             x[i, : len(y)] = y[:dims]
         return x / np.maximum(np.sqrt((x * x).sum(1)), 1e-300)[:, None]
 
-    bits, tables = plan_tables(largest, dims, cosine, found)
-    per = max(1, dims // bits)
-    mean, turns = rotations(square([np.array(v) / np.abs(v).max() for v in taken]), math.ceil(tables / per))
+    sample = square([np.array(v) / np.abs(v).max() for v in taken])
+    away = ((sample - sample.mean(0)) ** 2).sum(1) if taken else np.zeros(0)
+    bits, tables = plan_tables(largest, dims, cosine, found, away)
+    per = max(1, dims // max(1, bits))
+    mean, turns = rotations(sample, math.ceil(tables / per))
 
     def keys(v: list[np.ndarray]) -> np.ndarray:
         x = square(v) - mean

@@ -220,6 +220,23 @@ def test_embeddings(spark):
     assert itq.near(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [1000, 4000])
+@pytest.mark.parametrize("common", [0.7, 0.85])
+def test_embeddings_with_a_common_direction(spark, n, common):
+    rng = np.random.default_rng(7)
+    x = math.sqrt(1 - common) * rng.standard_normal((n, 64)) / 8
+    x[:, 0] += math.sqrt(common)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for i in range(0, 600, 2):  # pairs at cosine 0.93 to 0.96 that are as far from the mean
+        c = rng.uniform(0.931, 0.96)
+        u = x[i + 1] - (x[i + 1] @ x[i]) * x[i]
+        x[i + 1] = c * x[i] + math.sqrt(1 - c * c) * u / np.linalg.norm(u)
+    link = np.triu(x @ x.T >= 0.93, 1).sum()
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    found = itq.near(df).agg(F.sum("n_links")).first()[0] / 2
+    assert 0.97 * link <= found <= link + 1
+
+
 # 7
 
 
