@@ -27,7 +27,16 @@ from pyspark.sql import functions as F
 
 # Names of HTML elements and what pages call their parts.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe svg math object canvas audio video noframes noembed xmp".split())
+RAW = frozenset("script style title textarea noscript iframe noframes noembed xmp".split())
+HIDDEN = frozenset("head template svg math object canvas audio video".split())
+#: Elements in which "/>" ends an element, those in them that hold HTML again, and HTML elements that end them.
+FOREIGN = frozenset(["svg", "math"])
+HTML_AGAIN = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+ENDS_FOREIGN = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike "
+    "sub sup table tt u ul var".split()
+)
+IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript template noframes".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter nobr output q rp rt ruby s samp "
     "small span strike strong sub sup time tt u var wbr".split()
@@ -72,12 +81,13 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "depth", "bad", "good", "hidden", "link")
+    __slots__ = ("tag", "parent", "depth", "bad", "good", "hidden", "link", "foreign")
 
     def __init__(self, tag: str, parent: _Node | None, attrs: dict[str, str]):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
-        self.hidden = bool(parent and parent.hidden) or tag == "head" or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "")
+        self.hidden = bool(parent and parent.hidden) or tag in HIDDEN or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "")
+        self.foreign = tag in FOREIGN or bool(parent and parent.foreign and tag not in HTML_AGAIN)
         self.link = tag == "a" or bool(parent and parent.link)
         names = {x.lower() for x in _NAME.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")} if attrs else frozenset()
         bad, good = bool(names & BAD_NAMES), bool(names & GOOD_NAMES)
@@ -125,7 +135,9 @@ def blocks(page: str) -> list[Block]:
         linked = 0
 
     def text(a: int, b: int) -> None:
-        nonlocal linked
+        nonlocal linked, node
+        if node.tag == "head" and page[a:b].strip():
+            node = node.parent
         if b > a and not node.hidden:
             parts.append(page[a:b])
             if node.link:
@@ -151,16 +163,23 @@ def blocks(page: str) -> list[Block]:
                     flush()
                 node = x.parent
             continue
+        if node.tag == "head" and tag not in IN_HEAD:
+            node = node.parent
+        if node.foreign and tag in ENDS_FOREIGN:
+            while node.foreign:
+                node = node.parent
         if tag == "br":
             parts.append(" ")
             continue
         if tag not in INLINE:
             flush()
-        if tag in RAW:
+        if (node.foreign or tag in FOREIGN) and attrs.endswith("/"):
+            continue
+        if tag in RAW and not node.foreign:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
             stop = page.find(">", close.end()) if close else -1
             at = stop + 1 if stop >= 0 else end
-            if tag in INLINE or tag in ("svg", "math"):
+            if tag in INLINE:
                 parts.append(" ")
             continue
         if tag in VOID:

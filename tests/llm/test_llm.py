@@ -90,6 +90,18 @@ def test_extraction_without_semantic_tags():
     assert mincut.extract("<" * 2000) == "" or True
 
 
+def test_extraction_goes_on_after_embedded_elements():
+    a = "The first long paragraph of the article, with several words in it, that goes on and on. And on."
+    b = "The second long paragraph of the article, with several words in it, that goes on and on. And on."
+    for x in ("<svg viewBox=x />", "<svg><path d=x /><title>t</title></svg>", "<svg><style/><g>", "<svg><title/>", "<math/>", "<math><mi>x</mi></math>"):
+        assert mincut.extract(f"<article><p>{a}</p>{x}<p>{b}</p></article>") == f"{a} {b}"
+    for x in ("<video src=x />", "<object data=x>", "<canvas>", "<audio src=x>", "<template><p>no</p>", "<video>not played</video>"):
+        assert mincut.extract(f"<article><p>{a}</p><div>{x}</div><p>{b}</p></article>") == f"{a} {b}"
+    for x in ("<p>", "", "<div>"):
+        assert mincut.extract(f"<head><meta charset=x><title>t</title>{x}{a}") == a
+    assert mincut.extract(f"<html><head><title>t</title></head><body><p>{a}</p>") == a
+
+
 def test_cut_is_minimal():
     rng = random.Random(1)
     for _ in range(150):
