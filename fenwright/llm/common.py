@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -14,12 +15,14 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set (tests)."""
+    """The shared folder of the cluster, which the session names in spark.checkpoint.dir or setCheckpointDir."""
     sc = spark.sparkContext
     there = sc._jsc.sc().getCheckpointDir()
     if there.isDefined():
         return there.get()
-    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints_")
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(path)
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -30,6 +33,47 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class Stored:
+    """Tables written to the shared folder, to be read by column and removed when used."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        _OPEN.append(self)
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.parquet(path)
+
+    def drop(self, name: str) -> None:
+        remove(self.spark, f"{self.folder}/{name}")
+
+    def close(self) -> None:
+        remove(self.spark, self.folder)
+
+
+_OPEN: list[Stored] = []
+
+
+def sweep() -> None:
+    """Removes all stored tables; for callers that have written what they read of them."""
+    while _OPEN:
+        try:
+            _OPEN.pop().close()
+        except Exception:  # noqa: BLE001  the session has ended
+            return
+
+
+atexit.register(sweep)
+
+
 def bitmap_of(df: DataFrame, key: str, bits: int) -> np.ndarray:
     """A bit for each value of the long column `key` modulo 2**bits: at most 2**bits / 8 bytes, for any input."""
     slot = F.pmod(F.col(key), F.lit(1 << bits))
@@ -50,6 +94,23 @@ def bitmap_of(df: DataFrame, key: str, bits: int) -> np.ndarray:
     return np.packbits(flags, bitorder="little")
 
 
+def bit_test(df: DataFrame, key: str, most: int = 24):
+    """A test of long columns that holds for all values of df's column `key`, and for few others while df has few rows.
+
+    It is a literal of at most 2**most bits; it only spares work, so what it lets pass must still be joined.
+    """
+    rows = df.select(F.col(key).alias("key"))
+    bits = min(most, max(12, (16 * rows.count()).bit_length()))
+    words = bitmap_of(rows, "key", bits)[: (1 << bits) // 8].view("<i8")
+    table = F.split(F.lit(",".join(map(str, words.tolist()))), ",").cast("array<bigint>")
+
+    def test(key: Column) -> Column:
+        word = F.get(table, F.shiftrightunsigned(key, 6).bitwiseAND((1 << bits - 6) - 1).cast("int"))
+        return F.getbit(word, key.bitwiseAND(63).cast("int")) == 1
+
+    return test
+
+
 def has_bit(bitmap: np.ndarray, key: np.ndarray, bits: int) -> np.ndarray:
     slot = key.astype(np.int64) & np.int64((1 << bits) - 1)
     return (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
