@@ -10,8 +10,8 @@ holds most rows is spread over many tasks.
 Defined cases: null text has no words; a null source is a source of its own
 and comes last; documents without words are taken in the epochs that their
 place in the order falls in, at no cost; ties of the key are ordered by doc_id
-and size; fully repeated rows are taken one after the other; an empty table gives
-no rows; columns besides doc_id, text and source are ignored by `plan`.
+and size; fully repeated rows are taken one after the other, rows that differ in
+any column (as source or lang) are rows of their own; an empty table gives no rows; columns besides doc_id, text and source are ignored by `plan`.
 """
 
 from __future__ import annotations
@@ -71,10 +71,11 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float =
             F.col("doc_id"),
             F.col("source").cast("string").alias("source"),
             F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-            F.xxhash64(F.col("doc_id"), text).alias("row_key"),
+            F.xxhash64(F.col("doc_id"), text).alias("text_key"),
+            row_key(docs).alias("row_key"),
         )
     )
-    key = F.shiftrightunsigned(F.xxhash64(F.col("row_key"), F.lit(seed)), 64 - KEY_BITS)
+    key = F.shiftrightunsigned(F.xxhash64(F.col("text_key"), F.lit(seed)), 64 - KEY_BITS)
     per_source = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     goal = targets(per_source.select("source", "source_size"), weights, most)
     total = per_source.agg(F.sum("rows")).first()[0] or 0
@@ -90,7 +91,7 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float =
         F.col("source").alias("s"), F.col("range").alias("r"),
         (F.sum("inside").over(Window.partitionBy("source").orderBy("range")) - F.col("inside")).alias("ahead"),
     )
-    inside = Window.partitionBy("source", "range").orderBy("key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "range").orderBy("key", F.col("doc_id").asc_nulls_first(), "size", "row_key").rowsBetween(Window.unboundedPreceding, -1)
     running = keyed.select("*", F.coalesce(F.sum("size").over(inside), F.lit(0)).alias("run"))
     placed = running.join(ahead, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
     budget = F.floor("target").cast("long")
@@ -116,17 +117,31 @@ BROADCAST_SOURCES = 10_000
 
 
 def _few(info: DataFrame) -> bool:
-    return len(info.select(F.lit(1)).limit(BROADCAST_SOURCES + 1).collect()) <= BROADCAST_SOURCES
+    return info.count() <= BROADCAST_SOURCES
+
+
+def row_key(docs: DataFrame) -> Column:
+    """Two hashes over all columns and over which of them are null: rows with equal keys are the same row.
+
+    Maps, which have no order, count by their sorted entries.
+    """
+    values = []
+    for c, kind in docs.dtypes:
+        v = F.col(f"`{c}`")
+        values += [F.array_sort(F.map_entries(v)) if kind.startswith("map<") else v, v.isNull()]
+    return F.struct(F.xxhash64(*values).alias("a"), F.xxhash64(F.lit(1), *values).alias("b"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3, seed: int = 17) -> DataFrame:
     """The mixed corpus with the columns of docs: each row as often as the plan
-    takes it, the row at the budget's end rounded to all or none, so texts stay whole."""
-    chosen = plan(docs, weights, most, seed).groupBy(F.col("row_key").alias("_row")).agg(F.sum("copies").alias("_sum"), F.count("*").alias("_same"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    held = docs.select(F.struct("*").alias("r"), F.xxhash64("doc_id", text).alias("k")).join(chosen, F.col("k") == F.col("_row"))
-    # rows with equal doc_id and text are interchangeable; each takes an equal part, the first ones one more
-    nth = F.row_number().over(Window.partitionBy("k").orderBy(F.lit(1)))
-    share = F.expr("cast(_sum div _same as int) + if(nth <= _sum % _same, 1, 0)")
-    counted = held.select("r", "_sum", "_same", nth.alias("nth")).select("r", share.alias("copies")).where("copies > 0")
+    takes it, the row at the budget's end rounded to all or none, so texts stay whole.
+
+    Rows that are equal in all columns are summed into one before it is repeated,
+    so a row that makes up a third of the table meets its plan once.
+    """
+    chosen = plan(docs, weights, most, seed).groupBy(F.col("row_key").alias("_row")).agg(F.sum("copies").alias("copies"), F.count("*").alias("_same")).where("copies > 0")
+    held = docs.select(F.struct("*").alias("r"), row_key(docs).alias("k")).join(chosen, F.col("k") == F.col("_row"))
+    single = held.where("_same = 1").select("r", "copies")
+    repeated = held.where("_same > 1").groupBy("k").agg(F.first("r").alias("r"), F.first("copies").alias("copies")).select("r", "copies")
+    counted = single.unionAll(repeated)
     return counted.select("r", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("i")).select(*[F.col("r").getField(c).alias(c) for c in docs.columns])
