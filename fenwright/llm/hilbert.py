@@ -80,36 +80,45 @@ def _levels(df: DataFrame, dims: list[str], bits: int) -> list[Column]:
     cuts = df.agg(*[F.percentile_approx(v, steps, 10_000).alias(f"c{i}") for i, v in enumerate(values)]).first()
     out = []
     for i, v in enumerate(values):
-        bounds = sorted(set(cuts[f"c{i}"] or []))
+        bounds = cuts[f"c{i}"] or []  # repeated ones too: a dimension of few values spreads over all levels
         level = sum(((v > b).cast("int") for b in bounds), F.lit(0))
         out.append(F.coalesce(level, F.lit(0)))
     return out
 
 
-def shard(docs: DataFrame, n_shards: int = 40, dims: tuple[str, ...] = ("lang", "source", "size"), bits: int = 4, partitions: int | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, curve (position on the Hilbert curve), shard and slot of each row.
+ORDER = ["curve", "size", "doc_id", "text_crc32"]
 
-    `size` as a dimension is UTF-8 bytes of the text plus 16. Shards are runs of
-    the order and their row counts differ by at most one.
-    """
-    if len(dims) * bits > MAX_CELL_BITS:
-        raise ValueError(f"at most {MAX_CELL_BITS} bits over all dimensions")
-    spark = docs.sparkSession
+
+def _measures(dims: tuple[str, ...]) -> list[Column]:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    slim = docs.select(
-        F.col("doc_id"),
+    return [
         *[F.col(d) for d in dims if d != "size"],
         (F.octet_length(text) + F.lit(16)).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-    )
-    slim = cut(slim)
+    ]
+
+
+def _curve(slim: DataFrame, dims: tuple[str, ...], bits: int) -> Column:
     cell = F.lit(0)
     for level in _levels(slim, list(dims), bits):
         cell = cell * (1 << bits) + level
     table = F.split(F.lit(",".join(map(str, curve_positions(len(dims), bits)))), ",").cast("array<int>")
-    keyed = slim.select("doc_id", "size", "text_crc32", F.element_at(table, cell + 1).alias("curve"))
+    return F.element_at(table, cell + 1)
+
+
+def shard(docs: DataFrame, n_shards: int = 40, dims: tuple[str, ...] = ("lang", "source", "size"), bits: int = 4, partitions: int | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, curve (position on the Hilbert curve), shard and slot of each row.
+
+    `size` as a dimension is UTF-8 bytes of the text plus 16. Shards are runs of
+    the order and their row counts differ by at most one.
+    """
+    if len(dims) * bits > MAX_CELL_BITS:
+        raise ValueError(f"at most {MAX_CELL_BITS} bits over all dimensions")
+    spark = docs.sparkSession
+    slim = cut(docs.select(F.col("doc_id"), *_measures(dims)))
+    keyed = slim.select("doc_id", "size", "text_crc32", _curve(slim, dims, bits).alias("curve"))
     n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    order = ["curve", "size", "doc_id", "text_crc32"]
+    order = ORDER
     placed = cut(
         keyed.repartitionByRange(n, *order)
         .sortWithinPartitions(*order)
@@ -124,3 +133,21 @@ def shard(docs: DataFrame, n_shards: int = 40, dims: tuple[str, ...] = ("lang",
     number = F.expr(f"((before + nth + 1) * {n_shards} - 1) div total")
     ranked = placed.join(F.broadcast(before), "part").select("doc_id", "size", "text_crc32", "curve", rank.alias("rank"), "total", number.cast("int").alias("shard"))
     return ranked.select("doc_id", "size", "text_crc32", "curve", "shard", (F.col("rank") - F.expr(f"(cast(shard as bigint) * total) div {n_shards}")).alias("slot"))
+
+
+def write(docs: DataFrame, path: str, n_shards: int = 40, dims: tuple[str, ...] = ("lang", "source", "size"), bits: int = 4) -> None:
+    """docs as Parquet with one file a shard (folder shard=n) in the order of the curve, and their size in column `size`.
+
+    The shards are those of `shard`, known by their first rows, of which there
+    are n_shards; rows that are equal in all of the order stay in one file. Columns of docs named size or shard give way.
+    """
+    placed = shard(docs, n_shards, dims, bits)
+    key = F.struct("curve", "size", F.col("doc_id").cast("long").alias("doc_id"), F.col("text_crc32").cast("long").alias("text_crc32"))
+    firsts = placed.groupBy("shard").agg(F.min(key).alias("first"))
+    names = [c for c in docs.columns if c not in ("size", "shard", "curve", "text_crc32")]
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], *_measures(dims)[-2:])
+    rows = rows.withColumn("curve", _curve(rows, dims, bits))
+    bounds = firsts.agg(F.array_sort(F.collect_list(F.struct("first", "shard"))).alias("bounds"))
+    held = F.filter("bounds", lambda b: b["first"] <= key)
+    found = rows.crossJoin(F.broadcast(bounds)).withColumn("shard", F.element_at(held, -1)["shard"]).drop("bounds")
+    found.repartition(n_shards, "shard").sortWithinPartitions("shard", *ORDER).drop("curve", "text_crc32").write.partitionBy("shard").parquet(path)
