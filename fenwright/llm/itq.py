@@ -82,6 +82,25 @@ def plan_tables(largest: int, dims: int, cosine: float, found: float, away: np.n
     return best[1:]
 
 
+def most_apart(bits: int, cosine: float, away: np.ndarray, lost: float = 0.0005) -> int:
+    """Code bits in which pairs at the threshold differ at most, but for a share `lost` of them.
+
+    Bits are not independent, so the spread is taken as twice that of independent ones.
+    """
+    away = away if len(away) else np.ones(1)
+    p = np.arccos(np.clip(1 - (1 - cosine) / np.maximum(away, 1e-12), -1, 1)) / np.pi
+    spread = 2 * np.sqrt(np.maximum(bits * p * (1 - p), 1e-9))
+    tail = np.frompyfunc(lambda z: 0.5 * math.erfc(z / math.sqrt(2)), 1, 1)
+    low, high = 0, bits
+    while low < high:
+        mid = (low + high) // 2
+        if tail((mid + 0.5 - bits * p) / spread).astype(float).mean() <= lost:
+            high = mid
+        else:
+            low = mid + 1
+    return low
+
+
 def near(vectors: DataFrame, cosine: float = 0.93, found: float = 0.995, fit_rows: int = FIT_ROWS) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of vectors (vec_id, embedding, label)."""
     e = F.col("embedding").cast("array<double>")
@@ -97,6 +116,7 @@ def near(vectors: DataFrame, cosine: float = 0.93, found: float = 0.995, fit_row
         .groupBy("c")
         .agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
         .withColumn("part", F.xxhash64("label", F.size("v")))
+        .withColumn("id", F.xxhash64("c"))
     )
     largest = classes.groupBy("part").count().agg(F.max("count")).first()[0] or 0
     taken = classes.select(F.xxhash64("c", F.lit(3)).alias("h"), "v").orderBy("h").limit(fit_rows).toArrow().column("v").to_pylist()
@@ -115,64 +135,84 @@ def near(vectors: DataFrame, cosine: float = 0.93, found: float = 0.995, fit_row
     per = max(1, dims // max(1, bits))
     mean, turns = rotations(sample, math.ceil(tables / per))
 
-    def keys(v: list[np.ndarray]) -> np.ndarray:
+    total = tables * bits
+    apart = most_apart(total, cosine, away) if bits else 0
+
+    def codes(v: list[np.ndarray]) -> np.ndarray:
+        """Bits of all tables, `bits` for each."""
         x = square(v) - mean
-        weight = 1 << np.arange(bits, dtype=np.int64)
-        out = []
-        for r in turns:
-            code = x @ r >= 0
-            out += [code[:, k * bits : (k + 1) * bits] @ weight for k in range(per)]
-        return np.stack(out[:tables], 1)
-
-    def scaled(batch) -> list[np.ndarray]:
+        out = [(x @ r >= 0)[:, : per * bits] for r in turns]
+        return np.concatenate(out, 1)[:, :total] if out and bits else np.zeros((len(v), total), bool)
+
+    def keys(code: np.ndarray) -> np.ndarray:
+        return code.reshape(len(code), tables, bits) @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros((len(code), tables), np.int64)
+
+    def scaled(column) -> list[np.ndarray]:
         """Vectors over their largest component, so that squares neither overflow nor vanish."""
-        return [(lambda y: y / np.abs(y).max())(np.array(x)) for x in batch.column("v").to_pylist()]
+        return [(lambda y: y / np.abs(y).max())(np.array(x)) for x in column.to_pylist()]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 b = whole.slice(at, 2000)
-                v = scaled(b)
-                k = keys(v)
-                unit = [(x / np.sqrt(x @ x)).tobytes() for x in v]
-                part, rep, copies = (np.repeat(b.column(c).to_numpy(), tables) for c in ("part", "rep", "copies"))
+                code = codes(scaled(b.column("v")))
+                part, ident = (np.repeat(b.column(c).to_numpy(), tables) for c in ("part", "id"))
+                packed = [row.tobytes() for row in np.packbits(code, axis=1)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(part), pa.array(np.tile(np.arange(tables), len(v)).astype(np.int32)), pa.array(k.ravel()), pa.array(rep), pa.array(copies),
-                        pa.array([u for u in unit for _ in range(tables)], pa.binary()),
-                        pa.array([x for row in k.astype("<i4") for x in [row.tobytes()] * tables], pa.binary()),
+                        pa.array(part), pa.array(np.tile(np.arange(tables), b.num_rows).astype(np.int32)), pa.array(keys(code).ravel()), pa.array(ident),
+                        pa.array([p for p in packed for _ in range(tables)], pa.binary()),
                     ],
-                    names=["part", "tab", "key", "rep", "copies", "unit", "keys"],
+                    names=["part", "tab", "key", "id", "code"],
                 )
 
-    met = cut(classes.select("part", "rep", "copies", "v").mapInArrow(spread, "part long, tab int, key long, rep long, copies long, unit binary, keys binary"))
-    bucket = F.xxhash64("part", "tab", "key")
-    sizes = met.groupBy(bucket.alias("k")).count().where("count > 1").select("k", F.expr(f"cast((count + {TILE} - 1) div {TILE} as int)").alias("tiles"))
-    sized = met.withColumn("bucket", bucket).join(sizes, F.col("bucket") == F.col("k"))
-    own = F.pmod(F.xxhash64("rep", F.lit(9)), F.col("tiles")).cast("int")
-    tiled = (
-        sized.withColumn("own", own)
-        .select("bucket", "tab", "rep", "copies", "unit", "keys", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-        .select("bucket", "tab", "rep", "copies", "unit", "keys", "own", F.least("own", "other").alias("ta"), F.greatest("own", "other").alias("tb"))
-    )
-
-    def compare(t: pa.Table, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def tiled(met: DataFrame, keep: list[str]) -> DataFrame:
+        """Rows of buckets with several, in tiles and pairs of tiles of bounded size."""
+        sizes = met.groupBy(F.col("bucket").alias("k")).count().where("count > 1").select("k", F.expr(f"cast((count + {TILE} - 1) div {TILE} as int)").alias("tiles"))
+        own = F.pmod(F.xxhash64("id", F.lit(9)), F.col("tiles")).cast("int")
+        return (
+            met.join(sizes, F.col("bucket") == F.col("k"))
+            .withColumn("own", own)
+            .select("bucket", *keep, "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+            .select("bucket", *keep, "own", F.least("own", "other").alias("ta"), F.greatest("own", "other").alias("tb"))
+        )
+
+    def candidates(t: pa.Table, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Row pairs that meet in a table for the first time and whose codes are near."""
         n = t.num_rows
-        rep, copies, tab, own = (t.column(c).to_numpy() for c in ("rep", "copies", "tab", "own"))
+        own, tab = t.column("own").to_numpy(), t.column("tab").to_numpy()
         cross = t.column("ta").to_numpy() != t.column("tb").to_numpy()
-        raw = t.column("unit").to_pylist()
-        width = max(map(len, raw)) // 8
-        x = np.zeros((n, width))
-        for i, u in enumerate(raw):
-            x[i, : len(u) // 8] = np.frombuffer(u)
-        k = np.frombuffer(b"".join(t.column("keys").to_pylist()), "<i4").reshape(n, -1)
-        links = np.zeros(n, np.int64)
-        a, b = [], []
+        packed = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(n, -1)
+        k = keys(np.unpackbits(packed, axis=1)[:, :total].astype(bool))
         for i, j in pairs_within(first, n):
             ok = ~cross[i] | (own[i] != own[j])
             i, j = i[ok], j[ok]
-            ok = (k[i] == k[j]).argmax(1) == tab[i]
+            ok = np.bitwise_count(packed[i] ^ packed[j]).sum(1, dtype=np.int64) <= apart
             i, j = i[ok], j[ok]
+            ok = (k[i] == k[j]).argmax(1) == tab[i]
+            yield i[ok], j[ok]
+
+    def close(t: pa.Table, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+        on = np.zeros(t.num_rows, bool)
+        for i, j in candidates(t, first):
+            on[i] = on[j] = True
+        yield pa.RecordBatch.from_arrays([t.column(c).combine_chunks().filter(pa.array(on)) for c in ("bucket", "tab", "id", "code")], names=["bucket", "tab", "id", "code"])
+
+    met = classes.select("part", "id", "v").mapInArrow(spread, "part long, tab int, key long, id long, code binary")
+    met = cut(met.select(F.xxhash64("part", "tab", "key").alias("bucket"), "tab", "id", "code"))
+    some = in_groups(tiled(met, ["tab", "id", "code"]), ["bucket", "ta", "tb"], close, "bucket long, tab int, id long, code binary").distinct()
+    held = some.join(classes.select(F.col("id").alias("r"), "copies", "v"), F.col("id") == F.col("r")).drop("r")
+
+    def compare(t: pa.Table, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n = t.num_rows
+        ident, copies = (t.column(c).to_numpy() for c in ("id", "copies"))
+        raw = scaled(t.column("v"))
+        x = np.zeros((n, max(map(len, raw))))
+        for i, u in enumerate(raw):
+            x[i, : len(u)] = u / np.sqrt(u @ u)
+        links = np.zeros(n, np.int64)
+        a, b = [], []
+        for i, j in candidates(t, first):
             ok = np.einsum("ij,ij->i", x[i], x[j]) >= cosine
             i, j = i[ok], j[ok]
             links += np.bincount(i, copies[j], n).astype(np.int64) + np.bincount(j, copies[i], n).astype(np.int64)
@@ -181,17 +221,19 @@ def near(vectors: DataFrame, cosine: float = 0.93, found: float = 0.995, fit_row
         if a:
             root = local_roots(n, np.concatenate(a), np.concatenate(b))
             on = np.flatnonzero(links)
-            yield pa.RecordBatch.from_arrays([pa.array(rep[on]), pa.array(rep[root[on]]), pa.array(links[on])], names=["a", "b", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(ident[on]), pa.array(ident[root[on]]), pa.array(links[on])], names=["a", "b", "n"])
 
-    linked = cut(in_groups(tiled, ["bucket", "ta", "tb"], compare, "a long, b long, n long"))
+    linked = cut(in_groups(tiled(held, ["tab", "id", "code", "copies", "v"]), ["bucket", "ta", "tb"], compare, "a long, b long, n long"))
     links = linked.groupBy(F.col("a").alias("node1")).agg(F.sum("n").alias("more"))
     comp = components(linked.select("a", "b"))
-    known = (
-        classes.select("c", "rep", "copies")
-        .join(links, F.col("rep") == F.col("node1"), "left")
-        .join(comp, F.col("rep") == F.col("node"), "left")
-        .select(F.col("c").alias("d"), (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("m"))
+    known = cut(
+        classes.select("c", "id", "rep", "copies")
+        .join(links, F.col("id") == F.col("node1"), "left")
+        .join(comp, F.col("id") == F.col("node"), "left")
+        .select("c", "rep", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n"), "component")
     )
+    names = known.where("component is not null").groupBy(F.col("component").alias("g")).agg(F.min("rep").alias("least"))
+    known = known.join(names, F.col("component") == F.col("g"), "left").select(F.col("c").alias("d"), "n", F.coalesce("least", "rep").alias("m"))
     return rows.select("vec_id", "c").join(known, F.col("c") == F.col("d"), "left").select(
         "vec_id",
         F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
