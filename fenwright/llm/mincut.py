@@ -1,24 +1,27 @@
 """HTML main-text extraction as a minimum cut.
 
 A page becomes a row of text blocks. A classifier turns what is known of a
-block (its ancestors' tags, class and role names, its length, link share and
-punctuation) into a cost of calling it content or boilerplate; these costs are the
-capacities of its edges to the two terminals. Neighbouring blocks, and blocks
-under one parent, are tied by smoothness edges. The maximum flow's cut gives the
+block (length, sentences, link share, its ancestors' tags, class and role names,
+whether the page names a main part and where that is, whether it follows a heading
+of reader comments) into graded costs of calling it content or boilerplate; these
+are the capacities of its edges to the two terminals. Neighbouring blocks, and blocks
+under one parent, are tied by smoothness edges of a like size, so a block whose own
+evidence is weak goes with those around it. The maximum flow's cut gives the
 labelling of least total cost; blocks on the source side are the main text.
 
 Defined cases: a null or empty page, and a page without content blocks, give an
 empty text; broken markup is read on as browsers do (unclosed elements end
 with their parents); hidden elements, scripts, styles and comments have no blocks;
-repeated rows are read each; columns besides page_id, url and html are
-ignored. The work is per row, without a shuffle; memory follows the longest page.
+null page_ids and urls stay null; repeated rows are read each; columns besides
+page_id, url and html are ignored; an empty table gives no rows. The work is per
+row, without a shuffle; time and memory follow the length of a page, broken or not.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -59,18 +62,19 @@ BAD_NAMES = frozenset(
     "copyright legal disclaimer search form tags trending popular skip".split()
 )
 GOOD_NAMES = frozenset("article content post entry story main body text maintext bodytext articlebody postbody".split())
-COMMENT_NAMES = frozenset("comment comments reply replies".split())
+COMMENT_NAMES = frozenset("comment comments commentlist reply replies responses discussion disqus respond".split())
+#: Headings of reader comments.
+COMMENT_HEADING = re.compile(
+    r"\d+ (comments?|responses?|replies|reply|thoughts|reactions)( (on|to)\b.*)?|(reader |user )?(comments|responses|replies)( \(\d+\))?:?|leave a (reply|comment)|join the (discussion|conversation)|no (comments|responses) yet", re.I
+)
 
-# Weights of the classifier, in units of one smoothness edge.
-BAD_PART, GOOD_PART = 40, 12
+# Weights of the classifier, in units of one smoothness edge. A part's own weight is that of its strongest mark.
+BAD_TAG, BAD_NAME, COMMENTS, GOOD_PART, OUTSIDE = 14, 8, 16, 6, 10
+MOST_GOOD_LENGTH, MOST_SENTENCES = 5, 3
 ADJACENT, SIBLING, SAME_PARENT = 1, 1, 2
 
-_TOKEN = re.compile(
-    r"<!--(?:.*?-->|>|->)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",  # quotes that do not pair
-    re.S,
-)
+_SPECIAL = re.compile("[>\"']")
+_TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTR = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|([^\s=\"'/>]+)")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SENTENCE = re.compile(r"[.!?。…]")
@@ -81,46 +85,108 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "depth", "bad", "good", "hidden", "link", "foreign")
+    __slots__ = ("tag", "parent", "depth", "bad", "good", "hidden", "link", "foreign", "talk")
 
     def __init__(self, tag: str, parent: _Node | None, attrs: dict[str, str]):
         self.tag, self.parent = tag, parent
+        self.talk = bool(parent and parent.talk)
         self.depth = parent.depth + 1 if parent else 0
         self.hidden = bool(parent and parent.hidden) or tag in HIDDEN or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "")
         self.foreign = tag in FOREIGN or bool(parent and parent.foreign and tag not in HTML_AGAIN)
         self.link = tag == "a" or bool(parent and parent.link)
         names = {x.lower() for x in _NAME.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")} if attrs else frozenset()
         bad, good = bool(names & BAD_NAMES), bool(names & GOOD_NAMES)
+        talk = bool(names & COMMENT_NAMES)
         role = attrs.get("role", "").lower()
         if tag in ("html", "body"):
-            bad = good = False
+            bad = good = talk = False
         elif tag in GOOD_TAGS:
-            bad = bool(names & COMMENT_NAMES)
-            good = not bad
-        elif bad and good and not names & COMMENT_NAMES:  # a wrapper that names what it holds
+            bad, good = talk, not talk
+        elif bad and good and not talk:  # a wrapper that names what it holds
             bad = good = False
-        in_good = bool(parent and parent.good)
-        if tag in BAD_TAGS or role in BAD_ROLES or tag == "header" and not in_good:
-            bad = True
-        if tag in HEADINGS and in_good:
-            bad = False
         if role in ("main", "article"):
-            good = True
-        self.bad = bad or bool(parent and parent.bad)
-        self.good = (good or in_good) and not self.bad
+            bad, good = talk, not talk
+        in_good = bool(parent and parent.good)
+        if talk:
+            mark = COMMENTS
+        elif tag in BAD_TAGS or role in BAD_ROLES or tag == "header" and not in_good:
+            mark = BAD_TAG
+        elif bad and not (tag in HEADINGS and in_good):
+            mark = BAD_NAME
+        else:
+            mark = 0
+        #: Weight of the strongest mark of boilerplate on the way down; `good`: inside what the page calls its main part.
+        self.bad = max(mark, parent.bad if parent else 0)
+        self.good = (good or in_good) and self.bad < BAD_TAG
 
 
 class Block:
-    __slots__ = ("text", "node", "linked")
+    """talk: whether it follows a heading of reader comments in the same part."""
+
+    __slots__ = ("text", "node", "linked", "talk")
 
     def __init__(self, text: str, node: _Node, linked: int):
-        self.text, self.node, self.linked = text, node, linked
+        self.text, self.node, self.linked, self.talk = text, node, linked, node.talk
+
+
+class _Tags:
+    """Tags of a page from left to right, each character looked at a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page, self.loose, self.no_comment_end = page, False, False
+
+    def next(self, at: int) -> tuple[int, int, str, str, str]:
+        """Start, end, slash, name and attributes of the next tag from `at` on; a comment or declaration has no name.
+
+        A tag or declaration that the page ends in reaches to its end, as browsers have it.
+        """
+        page = self.page
+        last = len(page)
+        while True:
+            a = page.find("<", at)
+            if a < 0 or a + 1 >= last:
+                return last, last, "", "", ""
+            c = page[a + 1]
+            if c in "!?":
+                end = self._comment(a) if page.startswith("<!--", a) else -1
+                if end < 0:
+                    end = page.find(">", a) + 1
+                return a, end or last, "", "", ""
+            slash = "/" if c == "/" else ""
+            m = _TAG_NAME.match(page, a + 1 + len(slash))
+            if m:
+                end = self._close(m.end())
+                return (a, end + 1, slash, m[0].lower(), page[m.end() : end]) if end >= 0 else (a, last, "", "", "")
+            at = a + 1
+
+    def _comment(self, a: int) -> int:
+        if self.page.startswith(("<!-->", "<!--->"), a):
+            return self.page.index(">", a) + 1
+        end = -1 if self.no_comment_end else self.page.find("-->", a + 4)
+        self.no_comment_end = end < 0
+        return end + 3 if end >= 0 else -1
+
+    def _close(self, at: int) -> int:
+        """The > that ends a tag; quotes that do not pair up to the end of the page count as plain from then on."""
+        first, page = at, self.page
+        while not self.loose:
+            m = _SPECIAL.search(page, at)
+            if not m:
+                break
+            if m[0] == ">":
+                return m.start()
+            at = page.find(m[0], m.end()) + 1
+            if not at:
+                break
+        self.loose = True
+        return page.find(">", first)
 
 
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order. Inline elements do not end a block, all others do."""
     out: list[Block] = []
     node, parts, linked, at, end = _Node("html", None, {}), [], 0, 0, len(page)
+    tags, open_ = _Tags(page), Counter()
 
     def flush() -> None:
         nonlocal linked
@@ -130,44 +196,47 @@ def blocks(page: str) -> list[Block]:
                 home = node
                 while home.parent and home.tag in INLINE:
                     home = home.parent
+                if home.tag in HEADINGS and len(text) < 60 and home.parent.tag not in ("html", "body", *GOOD_TAGS) and COMMENT_HEADING.fullmatch(text):
+                    home.talk = home.parent.talk = True
                 out.append(Block(text, home, linked))
             parts.clear()
         linked = 0
 
+    def go_to(x: _Node) -> None:
+        nonlocal node
+        while node is not x:
+            open_[node.tag] -= 1
+            node = node.parent
+
     def text(a: int, b: int) -> None:
-        nonlocal linked, node
+        nonlocal linked
         if node.tag == "head" and page[a:b].strip():
-            node = node.parent
+            go_to(node.parent)
         if b > a and not node.hidden:
             parts.append(page[a:b])
             if node.link:
                 linked += len(page[a:b].strip())
 
     while at < end:
-        m = _TOKEN.search(page, at)
-        if not m:
-            cut = page.rfind("<", at)
-            text(at, cut if cut >= 0 and re.match(r"<[a-zA-Z/!]", page[cut : cut + 2]) else end)
-            break
-        text(at, m.start())
-        at = m.end()
-        slash, tag, attrs = (m[1], m[2].lower(), m[3]) if m[2] else (m[4], (m[5] or "").lower(), m[6])
+        start, stop_, slash, tag, attrs = tags.next(at)
+        text(at, start)
+        at = stop_
         if not tag:
             continue
         if slash:
-            x = node
-            while x.parent and x.tag != tag:
-                x = x.parent
-            if x.tag == tag and x.parent:
+            if open_[tag]:
+                x = node
+                while x.tag != tag:
+                    x = x.parent
                 if tag not in INLINE:
                     flush()
-                node = x.parent
+                go_to(x.parent)
             continue
         if node.tag == "head" and tag not in IN_HEAD:
-            node = node.parent
+            go_to(node.parent)
         if node.foreign and tag in ENDS_FOREIGN:
             while node.foreign:
-                node = node.parent
+                go_to(node.parent)
         if tag == "br":
             parts.append(" ")
             continue
@@ -186,45 +255,38 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag == "body":
             while node.parent:
-                node = node.parent
+                go_to(node.parent)
         ends = SELF_CLOSING.get(tag, frozenset()) | (frozenset(["p"]) if tag in ENDS_P else frozenset())
-        if ends:
+        if any(open_[e] for e in ends):
             x = node
             while x.parent and x.tag not in ends and (x.tag not in SCOPES):
                 x = x.parent
             if x.tag in ends and x.parent:
-                node = x.parent
+                go_to(x.parent)
         if attrs.endswith("/") and tag in ("path", "g", "use"):
             continue
         node = _Node(tag, node, _attributes(attrs))
+        open_[tag] += 1
     flush()
     return out
 
 
-def costs(b: Block) -> tuple[int, int]:
-    """Terminal capacities: what it costs to call the block boilerplate, and content."""
-    n = len(b.text)
-    share = b.linked / n
-    good, bad = 0, 0
-    if b.node.bad:
-        bad += BAD_PART
-    if b.node.good:
-        good += GOOD_PART
-    if b.node.tag in HEADINGS:
-        good += 1
-    if b.node.tag in ("p", "blockquote", "pre", "td", "dd"):
-        good += 1
-    sentences = len(_SENTENCE.findall(b.text)) if n < 2000 else 5
-    good += min(4, n // 80) + min(2, sentences)
-    if share > 0.5:
-        bad += 6
-    elif share > 0.25:
-        bad += 2
-    if n < 25:
-        bad += 1
-    if "\N{COPYRIGHT SIGN}" in b.text and n < 300:
-        bad += 3
-    return good, bad
+def costs(bs: list[Block]) -> list[tuple[int, int]]:
+    """Terminal capacities of each block: what it costs to call it boilerplate, and content."""
+    main = any(b.node.good for b in bs)
+    out = []
+    for b in bs:
+        n, node = len(b.text), b.node
+        share = b.linked / n
+        good = min(MOST_GOOD_LENGTH, n // 60) + min(MOST_SENTENCES, len(_SENTENCE.findall(b.text, 0, 4000)))
+        good += GOOD_PART * node.good + (node.tag in HEADINGS) + (node.tag in ("p", "blockquote", "pre", "td", "dd"))
+        bad = max(node.bad, COMMENTS * b.talk)
+        bad += OUTSIDE * (main and not node.good)
+        bad += 5 if share > 0.5 else 2 if share > 0.25 else 0
+        bad += n < 25
+        bad += 3 * ("\N{COPYRIGHT SIGN}" in b.text and n < 300)
+        out.append((good, bad))
+    return out
 
 
 def edges(bs: list[Block]) -> list[tuple[int, int, int]]:
@@ -305,7 +367,7 @@ def min_cut(terminals: list[tuple[int, int]], ties: list[tuple[int, int, int]])
 
 def extract(page: str | None) -> str:
     bs = blocks(page or "")
-    keep = min_cut([costs(b) for b in bs], edges(bs))
+    keep = min_cut(costs(bs), edges(bs))
     return " ".join(b.text for b, k in zip(bs, keep, strict=True) if k)
 
 

@@ -101,6 +101,69 @@ def test_extraction_goes_on_after_embedded_elements():
     assert mincut.extract(f"<html><head><title>t</title></head><body><p>{a}</p>") == a
 
 
+LONG_A = "The council met on Tuesday evening to discuss the new bridge, which has been planned for many years. Work is to begin in spring."
+LONG_B = "Several residents spoke about noise, traffic and the cost of the work, and asked for a second meeting. The mayor agreed to hold one."
+
+
+def alone(page):
+    """What each block's own costs would keep."""
+    bs = mincut.blocks(page)
+    return " ".join(b.text for b, (good, bad) in zip(bs, mincut.costs(bs)) if good >= bad)
+
+
+def test_the_cut_turns_blocks_both_ways():
+    a, b = LONG_A, LONG_B
+    kept = f"<div><div><p>{a}</p><div>Photo: Ann Lee</div><p>{b}</p></div></div>"
+    assert mincut.extract(kept) == f"{a} Photo: Ann Lee {b}" and "Photo" not in alone(kept)
+    links = "".join(f"<li><a href=x{i}>More news on topic {i}</a></li>" for i in range(6))
+    dropped = f"<div><p>{a}</p><p>{b}</p></div><div class=related><ul>{links}<li>Seen on television last week by many. Really.</li>{links}</ul></div>"
+    assert mincut.extract(dropped) == f"{a} {b}"
+    loose = f"<body><div><p>{a}</p><p>{b}</p></div><ul>{links}<li>Seen on television last week by many people.</li>{links}</ul>"
+    assert mincut.extract(loose) == f"{a} {b}" and "television" in alone(loose)
+
+
+def test_names_inside_the_article_do_not_decide():
+    a, b = LONG_A, LONG_B
+    assert mincut.extract(f'<article><p class="related">{a}</p><div class="legal"><p>{b}</p></div></article>') == f"{a} {b}"
+    assert mincut.extract(f'<article><p>{a}</p><nav><a href=x>Next article in this series of ours</a></nav><p>{b}</p><aside><p>{a}</p></aside></article>') == f"{a} {b}"
+
+
+def test_comments_that_no_name_marks():
+    a, b = LONG_A, LONG_B
+    talk = '<h3>3 Responses</h3><ol><li><p>I was there and it was not like that at all, I can tell you. Not at all.</p></li><li><p>Well said, thank you for writing about this. I agree with you.</p></li></ol>'
+    assert mincut.extract(f'<body><main><h1>Bridge</h1><p>{a}</p><p>{b}</p></main><section id="responses">{talk}</section></body>') == f"Bridge {a} {b}"
+    assert mincut.extract(f'<body><main><p>{a}</p><p>{b}</p></main><section id="s7">{talk}</section></body>') == f"{a} {b}"
+    assert mincut.extract(f'<body><div><p>{a}</p><p>{b}</p></div><div>{talk}</div></body>') == f"{a} {b}"
+    assert mincut.extract(f"<body><div><h2>Responses to the plan</h2><p>{a}</p><p>{b}</p></div></body>") == f"Responses to the plan {a} {b}"
+
+
+def test_broken_pages_take_time_in_proportion():
+    import time
+
+    for x in ('<a b="', '<a b=">', "<!--", "<div>responses", "<div><section><h3>Responses</h3></section>", "<", '<p class="x', "<a b='>\">", "<li>", "<b><p>", "<div><p>some text", "</p><i>"):
+        took = []
+        for n in (100_000, 400_000):
+            began = time.process_time()
+            mincut.extract(x * (n // len(x)))
+            took.append(time.process_time() - began)
+        assert took[1] < 10 * took[0] + 0.3, (x, took)
+    a = LONG_A
+    assert mincut.extract(f"<p>{a}</p><p>{a}") == f"{a} {a}" and mincut.extract(f"<p>{a}</p><a href='x") == a
+    assert mincut.extract(f"<p>a < b and 3 <4. {a}</p>") == f"a < b and 3 <4. {a}"
+
+
+def test_extraction_on_odd_rows(spark):
+    page = f"<article><p>{LONG_A}</p></article>"
+    rows = [(1, "u", page), (1, "u", page), (2, None, None), (None, "v", ""), (3, "w", "<p>" + "word " * 600_000), (4, "x", "No markup at all, but a sentence.")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for c in ("text", "n_chars", "page", "block"):
+        df = df.withColumn(c, F.lit("extra"))
+    got = sorted(((r.page_id, r.url, r.text, r.n_chars) for r in mincut.main_text(df).collect()), key=str)
+    texts = [LONG_A, LONG_A, "", "", ("word " * 600_000).strip(), "No markup at all, but a sentence."]
+    assert got == sorted(((p, u, t, len(t)) for (p, u, _), t in zip(rows, texts)), key=str)
+    assert mincut.main_text(df.limit(0)).count() == 0
+
+
 def test_cut_is_minimal():
     rng = random.Random(1)
     for _ in range(150):
