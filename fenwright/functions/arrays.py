@@ -76,3 +76,16 @@ def positions(a, value, rank: int = 1, count: int = 0, maxlen: int = 0) -> Colum
         all_ = F.filter(all_, lambda i: i < maxlen) if rank > 0 else F.filter(all_, lambda i: i >= F.size(a) - maxlen)
     order = all_ if rank > 0 else F.reverse(all_)
     return F.slice(order, abs(rank), count or 1 << 30)
+
+
+def length(a) -> Column:
+    return F.size(col(a))
+
+
+def pop_many(a, n: int, right: bool = False) -> Column:
+    """Struct (popped, rest) of n elements from an end; popped stand in the order in which they go."""
+    c = col(a)
+    k = F.least(F.lit(n), F.size(c))
+    if right:
+        return F.struct(F.reverse(F.slice(c, F.size(c) - k + 1, k)).alias("popped"), F.slice(c, F.lit(1), F.size(c) - k).alias("rest"))
+    return F.struct(F.slice(c, F.lit(1), k).alias("popped"), F.slice(c, k + 1, F.size(c)).alias("rest"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import pop_many
 from ..functions.text import glob
 
 
@@ -106,10 +107,60 @@ def expire_time(expires: Column | str, seconds: bool = True) -> Column:
     return F.coalesce(F.floor(e / 1000) if seconds else e, F.lit(-1)).cast("bigint")
 
 
+def ranges(df: DataFrame, order: Column, n: int = 64) -> Column:
+    """The number of the run, of about n runs of equal size over the whole table, that a row's order value lies in.
+
+    The cuts are quantiles, one row of fixed size, and then literals: a value lies in the same run in every plan.
+    """
+    v = order.cast("double")
+    cuts = df.agg(F.percentile_approx(v, [i / n for i in range(1, n)], 10_000).alias("c")).first()["c"] or []
+    return sum(((v > c).cast("int") for c in sorted(set(cuts))), F.lit(0))
+
+
+def running(df: DataFrame, keys: list[str], order: list[Column], value: Column, out: str, by: Column | None = None, n: int = 64) -> DataFrame:
+    """df with the running sum of value in its key's order, the row included.
+
+    Prefix sums in two steps: inside each run of the order (by: its leading number, ascending), and over
+    the runs' totals, of which a key has at most n. No task holds a whole hot key.
+    """
+    cut = df.withColumn("_value", value).withColumn("_range", ranges(df, by if by is not None else order[0], n))
+    totals = cut.groupBy(*keys, "_range").agg(F.sum("_value").alias("_total"))
+    before = F.sum("_total").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    ahead = totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"), before.alias("_ahead"))
+    inside = F.sum("_value").over(Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    on = F.col("_range") == F.col("_r")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    joined = cut.withColumn("_inside", inside).join(ahead, on)
+    total = F.when(F.col("_inside").isNull(), F.col("_ahead")).otherwise(F.col("_inside") + F.coalesce("_ahead", F.lit(0)))
+    return joined.select(*[F.col(c) for c in df.columns if c != out], total.alias(out))
+
+
 def running_sum(log: DataFrame, keys: list[str], delta: str, order: str = "seq", out: str = "value") -> DataFrame:
     """Counter value after each operation."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return log.withColumn(out, F.sum(delta).over(w))
+    return running(log, keys, [F.col(order)], F.col(delta), out)
+
+
+def persist(df: DataFrame, wanted: DataFrame, keys: list[str], column: str = "expires_at") -> DataFrame:
+    """df without the expiry of the wanted keys (of fields, where keys hold a key and a field)."""
+    mark = wanted.select(*keys).distinct().withColumn("_w", F.lit(True))
+    both = df.join(mark, keys, "left")
+    return both.select(*[F.when(F.col("_w"), F.lit(None)).otherwise(F.col(c)).cast(df.schema[c].dataType).alias(c) if c == column else F.col(c) for c in df.columns])
+
+
+def put(base: DataFrame, delta: DataFrame, keys: list[str], keep_ttl: bool = False, column: str = "expires_at") -> tuple[DataFrame, DataFrame]:
+    """A write that returns what it found: the new table, and the old rows of the written keys. keep_ttl leaves an old expiry."""
+    old = base.join(delta.select(*keys), keys, "left_semi")
+    new = delta
+    if keep_ttl:
+        held = base.select(*keys, F.col(column).alias("_old"))
+        new = delta.drop(column).join(held, keys, "left").withColumnRenamed("_old", column).select(*base.columns)
+    return upsert(base, new, keys), old
+
+
+def clear(df: DataFrame) -> DataFrame:
+    """The empty table of the same columns."""
+    return df.where(F.lit(False))
 
 
 def counters(log: DataFrame, keys: list[str], delta: str, out: str = "value") -> DataFrame:
@@ -134,7 +185,20 @@ def as_map(df: DataFrame, key: str, field: str, value: str) -> DataFrame:
 
 
 def random_rows(df: DataFrame, n: int, seed: int, partition: str | None = None, repeat: bool = False) -> DataFrame:
-    """n random rows (of each partition), distinct or with repeats."""
+    """n random rows (of each partition), distinct or with repeats.
+
+    Without a partition, draws with repeats take places of the whole table: rows are
+    numbered by task and place in it, and a task's first place comes from one count a task.
+    """
+    if repeat and not partition:
+        at = df.select("*", F.monotonically_increasing_id().alias("_at"))
+        task = F.shiftright("_at", 33)
+        counts = at.groupBy(task.alias("_t")).agg(F.count("*").alias("_c"))
+        first = counts.select("_t", (F.sum("_c").over(Window.orderBy("_t")) - F.col("_c")).alias("_f"), F.sum("_c").over(Window.partitionBy()).alias("_n"))
+        numbered = at.withColumn("_t", task).join(first.select("_t", "_f"), "_t").withColumn("_i", F.col("_f") + F.col("_at").bitwiseAND((1 << 33) - 1))
+        total = first.select("_n").limit(1)
+        picks = total.select("_n", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("_d")).select(F.floor(F.rand(seed) * F.col("_n")).cast("bigint").alias("_i"))
+        return picks.join(numbered, "_i").drop("_i", "_at", "_t", "_f")
     if repeat:
         w = Window.partitionBy(*([partition] if partition else [])).orderBy(F.lit(0))
         draws = F.explode(F.sequence(F.lit(1), F.lit(n)))
@@ -192,3 +256,29 @@ def is_member(df: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted (key, member, ...) with is_member 0 or 1."""
     there = df.select("key", "member").distinct().withColumn("_there", F.lit(1))
     return wanted.join(there, ["key", "member"], "left").withColumn("is_member", F.coalesce("_there", F.lit(0))).drop("_there")
+
+
+# lists: tables of (key, value array)
+
+
+def pop_first_list(lists: DataFrame, keys: list, n: int = 1, right: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Pops up to n elements from the first of keys whose list has any: (key, popped), and the lists that remain."""
+    place = F.array_position(F.array(*[F.lit(k) for k in keys]), F.col("key"))
+    full = lists.where(F.col("key").isin(list(keys)) & (F.size("value") > 0))
+    first = full.agg(F.min_by("key", place).alias("_first"))
+    both = lists.join(first, F.col("key") == F.col("_first"), "left").withColumn("_p", F.when(F.col("_first").isNotNull(), pop_many("value", n, right)))
+    return (
+        both.where("_p is not null").select("key", F.col("_p.popped").alias("popped")),
+        both.select("key", F.when(F.col("_p").isNull(), F.col("value")).otherwise(F.col("_p.rest")).alias("value")).where(F.size("value") > 0),
+    )
+
+
+def move_element(lists: DataFrame, source, target, from_right: bool = True, to_right: bool = False) -> DataFrame:
+    """Moves an end element of one list to an end of another (or of itself); nothing if the source has none."""
+    one = lists.where((F.col("key") == F.lit(source)) & (F.size("value") > 0)).select(F.element_at("value", -1 if from_right else 1).alias("_e"))
+    known = lists.unionByName(one.select(F.lit(target).alias("key"), F.array().cast(lists.schema["value"].dataType).alias("value")).join(lists.where(F.col("key") == F.lit(target)).select("key"), "key", "left_anti"))
+    both = known.join(one, F.lit(True), "left")
+    v, e = F.col("value"), F.col("_e")
+    cut = F.when((F.col("key") == F.lit(source)) & e.isNotNull(), F.slice(v, F.lit(1), F.size(v) - 1) if from_right else F.slice(v, F.lit(2), F.size(v))).otherwise(v)
+    put_ = F.when((F.col("key") == F.lit(target)) & e.isNotNull(), F.concat(cut, F.array(e)) if to_right else F.concat(F.array(e), cut)).otherwise(cut)
+    return both.select("key", put_.alias("value")).where(F.size("value") > 0)

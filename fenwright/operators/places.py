@@ -35,7 +35,7 @@ def search_by_member(points: DataFrame, key, member, **options) -> DataFrame:
     """Like search, around a member: a join with its one row, so nothing is collected."""
     me = points.where((F.col("key") == F.lit(key)) & (F.col("member") == F.lit(member))).select("key", F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))
     unit, radius, box = options.get("unit", "m"), options.get("radius"), options.get("box")
-    out = points.join(F.broadcast(me), "key").withColumn("dist", geo.distance_m("lon", "lat", "_lon", "_lat") / geo.UNITS[unit])
+    out = points.join(me, "key").withColumn("dist", geo.distance_m("lon", "lat", "_lon", "_lat") / geo.UNITS[unit])
     if radius is not None:
         out = out.where(F.col("dist") <= radius)
     else:

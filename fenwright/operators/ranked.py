@@ -8,14 +8,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .keyed import running
+
 
 def _order(reverse: bool) -> list[Column]:
     return [F.col("score").desc(), F.col("member").desc()] if reverse else [F.col("score"), F.col("member")]
 
 
 def rank(df: DataFrame, reverse: bool = False, out: str = "rank") -> DataFrame:
-    """0-based rank of every member within its key."""
-    return df.withColumn(out, (F.row_number().over(Window.partitionBy("key").orderBy(*_order(reverse))) - 1).cast("bigint"))
+    """0-based rank of every member within its key, by prefix sums over runs of the scores, so that a key may hold most rows."""
+    by = -F.col("score").cast("double") if reverse else F.col("score")
+    counted = running(df, ["key"], _order(reverse), F.lit(1), "_rank", by)
+    return counted.select(*[c for c in df.columns if c != out], (F.col("_rank") - 1).cast("bigint").alias(out))
 
 
 def add(base: DataFrame, delta: DataFrame, condition: str | None = None) -> DataFrame:
@@ -156,7 +160,8 @@ def sort_external(
 
     weights: (element, weight), one row per element; none: the elements themselves. A
     missing weight is 0, or first when alpha. Ties go by element bytes, and descending
-    turns both. get: column name -> (element, value). Both are left joins, so the optimiser broadcasts small sides.
+    turns both. get: column name -> (element, value). Both are left joins, so the optimiser broadcasts small sides;
+    the page is cut before the look-ups and put in order again after them, as a join does not keep an order.
     """
     e = F.col(element).cast("string")
     if weights is None:
@@ -164,12 +169,15 @@ def sort_external(
     else:
         w = weights.select(F.col(weights.columns[0]).alias(element), F.col(weights.columns[1]).alias("_v"))
         out = source.join(w, element, "left").withColumn("_w", F.coalesce(F.col("_v").cast("string"), F.lit("")) if alpha else F.coalesce(F.col("_v").cast("string").try_cast("double"), F.lit(0.0))).drop("_v")
+    order = [F.col("_w").desc(), e.desc()] if descending else [F.col("_w"), e]
     if sort:
-        out = out.orderBy(F.col("_w").desc(), e.desc()) if descending else out.orderBy(F.col("_w"), e)
+        out = out.orderBy(*order)
     if offset > 0:
         out = out.offset(offset)
     if count >= 0:
         out = out.limit(count)
     for name, table in (get or {}).items():
         out = out.join(table.select(F.col(table.columns[0]).alias(element), F.col(table.columns[1]).alias(name)), element, "left")
+    if sort and get:
+        out = out.orderBy(*order)
     return out.withColumnRenamed("_w", "weight")

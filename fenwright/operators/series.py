@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .keyed import ranges, running
+
 
 def resolve(samples: DataFrame, policy: str = "LAST", order: str = "seq") -> DataFrame:
     """One value per (key, ts): FIRST, LAST, MIN, MAX or SUM of the samples; BLOCK is an error on a duplicate."""
@@ -56,8 +58,7 @@ def of_labels(samples: DataFrame, meta: DataFrame, labels: dict[str, str]) -> Da
 
 def increment(log: DataFrame) -> DataFrame:
     """Running sums of (key, ts, delta, seq): the last value of each ts stands."""
-    w = Window.partitionBy("key").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = log.withColumn("value", F.sum("delta").over(w))
+    run = running(log, ["key"], [F.col("ts"), F.col("seq")], F.col("delta"), "value")
     return run.groupBy("key", "ts").agg(F.max_by("value", F.struct("ts", "seq")).alias("value"))
 
 
@@ -91,3 +92,44 @@ def downsample(samples: DataFrame, aggregate: str, width: int, alignment: int =
         open_ = samples.groupBy("key").agg(bucket(F.max("ts"), width, alignment).alias("_open"))
         out = out.join(open_, "key").where(F.col("bucket") < F.col("_open")).drop("_open")
     return out.withColumnRenamed("bucket", "ts")
+
+
+def alter(series: DataFrame, key, retention: int | None = None, labels: dict[str, str] | None = None, duplicates: str | None = None) -> DataFrame:
+    """The series table (key, retention, labels, duplicates) with the given settings of one key; what is not given stays."""
+    here = F.col("key") == F.lit(key)
+    new = {
+        "retention": None if retention is None else F.lit(retention),
+        "labels": None if labels is None else F.create_map(*[F.lit(x) for kv in labels.items() for x in kv]),
+        "duplicates": None if duplicates is None else F.lit(duplicates),
+    }
+    return series.select(*[F.when(here, new[c].cast(series.schema[c].dataType)).otherwise(F.col(c)).alias(c) if new.get(c) is not None else F.col(c) for c in series.columns])
+
+
+def delete_rule(rules: DataFrame, source, target) -> DataFrame:
+    """The rules (source, target, aggregate, width, alignment) without one."""
+    return rules.where(~((F.col("source") == F.lit(source)) & (F.col("target") == F.lit(target))))
+
+
+def closed_once(samples: DataFrame, aggregate: str, width: int, alignment: int = 0, order: str = "seq") -> DataFrame:
+    """Downsampling as a rule that fires on arrival: a bucket is written when a sample of a later one arrives, from what
+    had come by then; samples that come later for a written bucket are not in it."""
+    b = bucket("ts", width, alignment)
+    rows = samples.withColumn("_b", b)
+    # the greatest bucket that has come before a row: a row behind it is late
+    seen = running_max(rows, ["key"], order, "_b", "_open")
+    kept = seen.where(F.col("_open").isNull() | (F.col("_b") >= F.col("_open")))
+    return downsample(kept.drop("_b", "_open"), aggregate, width, alignment)
+
+
+def running_max(df: DataFrame, keys: list[str], order: str, value: str, out: str, n: int = 64) -> DataFrame:
+    """df with the greatest value before each row in its key's order, in two steps as running sums are."""
+    cut = df.withColumn("_range", ranges(df, F.col(order), n))
+    tops = cut.groupBy(*keys, "_range").agg(F.max(value).alias("_top"))
+    w = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = tops.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"), F.max("_top").over(w).alias("_before"))
+    on = F.col("_range") == F.col("_r")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    inside = F.max(value).over(Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    joined = cut.withColumn("_inside", inside).join(before, on)
+    return joined.select(*df.columns, F.greatest("_inside", "_before").alias(out))

@@ -334,10 +334,10 @@ _RULES = {
 HOUR = 3_600_000
 for _a, _sql in _RULES.items():
     _n = f"ts_rule_{_a.replace('.', '')}"
-    QUERIES[_n] = lambda s, d, a=_a: series.downsample(_events(s, d), a, 6 * HOUR, 1000).select("key", "ts", F.round("value", 3).alias("value"))
+    QUERIES[_n] = lambda s, d, a=_a: series.downsample(_events(s, d), a, 6 * HOUR, 1000).select("key", "ts", F.round("value", 6).alias("value"))
     ORACLE_SQL[_n] = (
         f"with {_E}, b as (select key, ts, value, ts - (((ts - 1000) % {6 * HOUR}) + {6 * HOUR}) % {6 * HOUR} as b from e), o as (select key, max(b) as o from b group by 1) "
-        f"select key, b::bigint as ts, round({_sql}, 3) as value from b join o using (key) where b < o group by 1, 2"
+        f"select key, b::bigint as ts, round({_sql}, 6) as value from b join o using (key) where b < o group by 1, 2"
     )
 
 
