@@ -74,6 +74,18 @@ def sweep() -> None:
 atexit.register(sweep)
 
 
+def row_key(docs: DataFrame) -> Column:
+    """Two hashes over all columns and over which of them are null: rows with equal keys are the same row.
+
+    Maps, which have no order, count by their sorted entries.
+    """
+    values = []
+    for c, kind in docs.dtypes:
+        v = F.col(f"`{c}`")
+        values += [F.array_sort(F.map_entries(v)) if kind.startswith("map<") else v, v.isNull()]
+    return F.struct(F.xxhash64(*values).alias("a"), F.xxhash64(F.lit(1), *values).alias("b"))
+
+
 def bitmap_of(df: DataFrame, key: str, bits: int) -> np.ndarray:
     """A bit for each value of the long column `key` modulo 2**bits: at most 2**bits / 8 bytes, for any input."""
     slot = F.pmod(F.col(key), F.lit(1 << bits))
@@ -97,12 +109,13 @@ def bitmap_of(df: DataFrame, key: str, bits: int) -> np.ndarray:
 def bit_test(df: DataFrame, key: str, most: int = 24):
     """A test of long columns that holds for all values of df's column `key`, and for few others while df has few rows.
 
-    It is a literal of at most 2**most bits; it only spares work, so what it lets pass must still be joined.
+    Its table of at most 2**most bits is read as a subquery of one row, so plans stay short.
+    It only spares work: what it lets pass must still be joined.
     """
     rows = df.select(F.col(key).alias("key"))
     bits = min(most, max(12, (16 * rows.count()).bit_length()))
     words = bitmap_of(rows, "key", bits)[: (1 << bits) // 8].view("<i8")
-    table = F.split(F.lit(",".join(map(str, words.tolist()))), ",").cast("array<bigint>")
+    table = df.sparkSession.createDataFrame([(words.tolist(),)], "bits array<bigint>").scalar()
 
     def test(key: Column) -> Column:
         word = F.get(table, F.shiftrightunsigned(key, 6).bitwiseAND((1 << bits - 6) - 1).cast("int"))
