@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, row_key
 
 KEY_BITS = 40
 
@@ -120,18 +120,6 @@ def _few(info: DataFrame) -> bool:
     return info.count() <= BROADCAST_SOURCES
 
 
-def row_key(docs: DataFrame) -> Column:
-    """Two hashes over all columns and over which of them are null: rows with equal keys are the same row.
-
-    Maps, which have no order, count by their sorted entries.
-    """
-    values = []
-    for c, kind in docs.dtypes:
-        v = F.col(f"`{c}`")
-        values += [F.array_sort(F.map_entries(v)) if kind.startswith("map<") else v, v.isNull()]
-    return F.struct(F.xxhash64(*values).alias("a"), F.xxhash64(F.lit(1), *values).alias("b"))
-
-
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3, seed: int = 17) -> DataFrame:
     """The mixed corpus with the columns of docs: each row as often as the plan
     takes it, the row at the budget's end rounded to all or none, so texts stay whole.

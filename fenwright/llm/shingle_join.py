@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column, bitmap_of, cut, has_bit, hashes, release
+from .common import binary_column, bitmap_of, cut, has_bit, hashes, release, row_key
 from .graph import components, in_groups, pairs_within
 
 RARITY_BITS = 22
@@ -348,9 +348,10 @@ def _compare(t: pa.Table, first: np.ndarray, percent: int) -> Iterator[pa.Record
 
 
 def groups(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
-    """row_key, doc_id, n_shingles, component_id of every document.
+    """row_key, doc_id, n_shingles, component_id, component of every document.
 
     Two documents link when percent of their union is shared; components are named by their smallest doc_id.
+    component tells components apart whose documents share ids (null without words).
     """
     spark = docs.sparkSession
     text = F.col("text").cast("string")
@@ -393,20 +394,23 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     named = cut(named)
     least = named.where("comp is not null").groupBy(F.col("comp").alias("g")).agg(F.min("doc_id").alias("least"))
     return named.join(least, F.col("comp") == F.col("g"), "left").select(
-        "row_key", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id")
+        "row_key", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), F.col("comp").alias("component")
     )
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
-    """docs without the documents that are in a component under a smaller doc_id; all columns stay.
+    """docs with one row of each component, that of the smallest doc_id (null last), then of the smallest row_key; all columns stay.
 
-    Of several rows with the kept doc_id and text, all are copies of one document and one stays.
+    Rows with the kept doc_id and text are copies of one document: of them the one with the smallest hash of all its
+    columns stays. They are summed up before they meet, so a row may be a third of the table.
     """
-    from pyspark.sql import Window
-
     text = F.col("text").cast("string")
-    g = groups(docs, width, percent).groupBy(F.col("row_key").alias("_g_key")).agg(F.first("component_id").alias("_g_comp"), F.first("doc_id").alias("_g_doc"))
-    own = docs.select(F.struct("*").alias("r"), F.xxhash64("doc_id", text).alias("k"))
-    kept = own.join(g, F.col("k") == F.col("_g_key")).where(F.col("_g_doc").eqNullSafe(F.col("_g_comp")))
-    first = kept.select("r", F.row_number().over(Window.partitionBy("k").orderBy(F.lit(0))).alias("nth")).where("nth = 1")
-    return first.select(*[F.col("r").getField(c).alias(c) for c in docs.columns])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))["row_key"]
+    g = groups(docs, width, percent)
+    winners = g.groupBy(F.coalesce("component", "row_key").alias("c"), F.col("component").isNull()).agg(first.alias("_g_key"))
+    counted = g.groupBy(F.col("row_key").alias("w_key")).agg(F.count("*").alias("_same"))
+    winners = winners.join(counted, F.col("_g_key") == F.col("w_key")).select("_g_key", "_same")
+    held = docs.select(F.struct("*").alias("r"), F.xxhash64("doc_id", text).alias("k"), row_key(docs).alias("whole")).join(winners, F.col("k") == F.col("_g_key"))
+    single = held.where("_same = 1").select("r")
+    repeated = held.where("_same > 1").groupBy("k").agg(F.min_by("r", "whole").alias("r")).select("r")
+    return single.unionAll(repeated).select(*[F.col("r").getField(c).alias(c) for c in docs.columns])

@@ -522,9 +522,27 @@ def test_components(spark):
     assert all(got[i] == want[i] for a, b in edges if a != b for i in (a, b))
 
 
+def test_one_row_of_a_group_stays_whatever_its_ids(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = lambda i: " ".join(base[:-1] + [f"x{i}"])
+    rows = [(None, near(i), "en") for i in range(4)] + [(7, near(9), lang) for lang in ("de", "en", None, "de")] + [(8, "other words here", "en"), (8, "some more words there", "en"), (None, "", "en"), (None, None, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = shingle_join.keep_first(df).collect()
+    assert sorted((r.doc_id, r.text) for r in kept if r.doc_id) == [(7, near(9)), (8, "other words here"), (8, "some more words there")]
+    assert sorted((r.text for r in kept if r.doc_id is None), key=str) == ["", None]
+
+
 # pipeline
 
 
+def test_classifier_does_not_depend_on_partitions(docs):
+    got = {r.doc_id: r.kept for r in weak.classify(docs).collect()}
+    again = {r.doc_id: r.kept for r in weak.classify(docs.repartition(7)).collect()}
+    assert got == again and len(got) == docs.count()
+    kept = {r.doc_id for r in weak.keep_good(docs).collect()}
+    assert kept == {i for i, k in got.items() if k}
+
+
 def test_pipeline(spark, odd):
     import corpus_pipeline
 
@@ -533,4 +551,46 @@ def test_pipeline(spark, odd):
         df = spark.createDataFrame(stage(spark, df, FOLDER).collect(), odd.schema)
         assert df.columns == odd.columns, name
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES]) == '["quality_classifier", "line_dedup", "ngram_join", "mixing", "packing"]'
-    assert corpus_pipeline.run(spark, FOLDER).count() > 100
+    last = corpus_pipeline.STAGES[-1][1](spark, df, FOLDER)
+    exact = packing.Encoder(queries.tokenizer_path()).exact
+    assert sum(some(last, "length")) == sum(len(exact.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in df.collect())
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd.limit(0), FOLDER).count() == 0, name
+
+
+def test_pipeline_stages_against_brute_force(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    step = lambda name, df: spark.createDataFrame(stages[name](spark, df, FOLDER).collect(), DOCS)
+    good = step("quality_classifier", docs)
+    assert {r.doc_id for r in good.collect()} == {r.doc_id for r in weak.classify(docs).collect() if r.kept}
+    clean = step("line_dedup", good)
+    want = similar_lines([(r.doc_id, r.text) for r in good.collect()])
+    before = {r.doc_id: r.text for r in good.collect()}
+    after = {r.doc_id: r.text for r in clean.collect()}
+    for i, t in before.items():
+        if i in after:
+            assert after[i].count("\n") == t.count("\n") - want[i] and set(after[i].split("\n")) <= set(t.split("\n"))
+        else:
+            assert want[i]
+    one = step("ngram_join", clean)
+    assert sorted(r.doc_id for r in one.collect()) == sorted(i for i, _, c in linked([(r.doc_id, r.text) for r in clean.collect()]) if i == c)
+    mixed = step("mixing", one)
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sizes, longest, got = collections.Counter(), collections.Counter(), collections.Counter()
+    for r in one.collect():
+        sizes[r.source] += words(r.text)
+        longest[r.source] = max(longest[r.source], words(r.text))
+    for r in mixed.collect():
+        got[r.source] += words(r.text)
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    assert all(abs(got[s] - goal) <= longest[s] for s, goal in zip(names, water([sizes[s] for s in names]), strict=True))
+    codes = packing.Encoder(queries.tokenizer_path()).exact
+    packed, held = stages["packing"](spark, mixed, FOLDER).collect(), collections.Counter()
+    for r in mixed.collect():
+        held[r.doc_id] += len(codes.encode(r.text or "", add_special_tokens=False).ids) + 1
+    pieces = collections.Counter()
+    for p in packed:
+        pieces[p.doc_id] += p.length
+    assert pieces == held and corpus_pipeline.run(spark, FOLDER).count() == len(packed)
