@@ -2,7 +2,15 @@
 
 Each stage works on all that its predecessor kept, is written as Parquet into the
 shared folder and read again, so a lost executor never costs more than one
-stage. All stages but the last return the columns of documents.
+stage; what a stage read is removed when its successor stands. All stages but the
+last return the columns of documents.
+
+Defined cases: null and empty texts have no words: the classifier judges them, what passes
+has no line to lose, is its own group, is taken at no cost and packs as its end
+id. Very long texts are read whole. Repeated rows are judged alike; of rows with equal
+doc_id and text one stays after the n-gram join. Null doc_ids come last in every
+order. An empty table gives an empty result; columns besides those of documents are
+carried whatever their names.
 """
 
 from __future__ import annotations
@@ -13,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fenwright.llm import lines, mixing, packing, shingle_join, weak
-from fenwright.llm.common import checkpoint_dir
+from fenwright.llm.common import checkpoint_dir, remove, sweep
 from fenwright.llm.queries import tokenizer_path
 
 
@@ -50,15 +58,19 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: The classifier and the tokeniser are beyond SQL; the stages are tested against brute force instead.
+#: The classifier and the tokeniser are beyond SQL; tests/llm holds every stage against a brute-force version of it.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        sweep()
+        if last:
+            remove(spark, last)
+        last = path
     return docs
