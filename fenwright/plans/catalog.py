@@ -44,8 +44,8 @@ def millis(expr: str) -> Column:
 ORDERS = search.Schema(
     search.Field("status", "TAG", "o_orderstatus"), search.Field("priority", "TAG", "o_orderpriority"), search.Field("price", "NUMERIC", "o_totalprice"), search.Field("cust", "NUMERIC", "o_custkey")
 )
-PARTS = search.Schema(search.Field("name", "TEXT", "p_name"), search.Field("brand", "TAG", "p_brand"), search.Field("size", "NUMERIC", "p_size"))
-DOCS = search.Schema(search.Field("text", "TEXT"), search.Field("lang", "TAG"), search.Field("source", "TAG"))
+PARTS = search.Schema(search.Field("name", "TEXT", "p_name", stem=False), search.Field("brand", "TAG", "p_brand"), search.Field("size", "NUMERIC", "p_size"))
+DOCS = search.Schema(search.Field("text", "TEXT", stem=False), search.Field("lang", "TAG"), search.Field("source", "TAG"))
 
 
 @query(

@@ -8,7 +8,7 @@ from ..functions import arrays, bitfield, jsonpath, text
 from ..operators import digests, keyed, places, ranked, series, sketches, streams, vectors
 from ..sources.tables import documents, table
 from . import catalog as base
-from . import search
+from . import ranking, search
 from .catalog import L, _customers, _events, _expiring, _groups, _lists, _stream, millis
 
 QUERIES = {}
@@ -496,6 +496,37 @@ def ft_field_group(s, d):
     return search.search(table(s, d, "part"), "@name:(1 | 2) @size:[1 25]", base.PARTS).select(L("p_partkey").alias("id"))
 
 
+_STATS = "st as (select count(*) as n, avg(dl) as a from p)"
+_WORDS = f"t as (select doc_id, list_filter({base._TOK}, lambda x: x not in ({base._STOP})) as t from documents), p as (select doc_id, coalesce(len(t), 0) as dl, t from t), {_STATS}"
+
+
+def _bm25_sql(tf: str, df: str) -> str:
+    return f"ln(1 + (n - {df} + 0.5) / ({df} + 0.5)) * {tf} * 2.2 / ({tf} + 1.2 * (0.25 + 0.75 * dl / a))"
+
+
+@query(
+    f"with {_WORDS}, c as (select doc_id, dl, len(list_filter(t, lambda x: x = 'ther')) as f, len(list_filter(t, lambda x: x = 'ra')) as g from p), "
+    "d as (select count(*) filter (f > 0) as df, count(*) filter (g > 0) as dg from c) "
+    f"select c.doc_id::bigint as k, round(case when f > 0 then {_bm25_sql('f', 'df')} else 0 end + case when g > 0 then {_bm25_sql('g', 'dg')} else 0 end, 4) as score from c, d, st where f > 0 or g > 0"
+)
+def bm25_tree(s, d):
+    out = ranking.ranked(table(s, d, "documents"), "ther | @text:ra", base.DOCS, "doc_id")
+    return out.select(L("doc_id").alias("k"), base.r4("score").alias("score"))
+
+
+@query(f"with {_WORDS} select doc_id::bigint as k, round(2.2 / (1 + 1.2 * (0.25 + 0.75 * dl / a)), 4) as score from p, st")
+def bm25_all(s, d):
+    return ranking.ranked(table(s, d, "documents"), "*", base.DOCS, "doc_id").select(L("doc_id").alias("k"), base.r4("score").alias("score"))
+
+
+@query(
+    f"with {_WORDS}, e as (select doc_id, unnest(t) as w from p), c as (select doc_id, w, count(*) as f from e where starts_with(w, 'the') group by all), d as (select w, count(*) as df from c group by w) "
+    f"select c.doc_id::bigint as k, round(max({_bm25_sql('f', 'df')}), 4) as score from c join d using (w) join p using (doc_id), st group by 1"
+)
+def bm25_prefix(s, d):
+    return ranking.ranked(table(s, d, "documents"), "the*", base.DOCS, "doc_id").select(L("doc_id").alias("k"), base.r4("score").alias("score"))
+
+
 @query("select label::bigint as key, count(*)::bigint as size, max(len(embedding))::integer as dim from embeddings where label is not null group by 1")
 def vec_info(s, d):
     v = table(s, d, "embeddings").where("label is not null").select(L("label").alias("key"), F.col("vec_id").alias("element"), F.col("embedding").alias("vector"))

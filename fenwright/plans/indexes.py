@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import search
+from . import ranking, search
 
 
 @dataclass
@@ -24,14 +24,14 @@ class Catalog:
     indexes: dict[str, Index] = field(default_factory=dict)
     aliases: dict[str, str] = field(default_factory=dict)
 
-    def create(self, name: str, table: DataFrame, key: str, *fields: search.Field, stop_words: list[str] | None = None) -> None:
+    def create(self, name: str, table: DataFrame, key: str, *fields: search.Field, stop_words: list[str] | None = None, language: str = "english") -> None:
         if name in self.indexes or name in self.aliases:
             raise ValueError(f"index exists: {name}")
-        self.indexes[name] = Index(table, search.Schema(*fields, stop_words=stop_words), key)
+        self.indexes[name] = Index(table, search.Schema(*fields, stop_words=stop_words, language=language), key)
 
     def alter(self, name: str, new: search.Field) -> None:
         i = self.get(name)
-        i.schema = search.Schema(*i.schema.fields.values(), new, stop_words=list(i.schema.stop))
+        i.schema = search.Schema(*i.schema.fields.values(), new, stop_words=list(i.schema.stop), language=i.schema.language)
 
     def drop(self, name: str) -> None:
         self.indexes.pop(name)
@@ -62,6 +62,12 @@ class Catalog:
         out = hits.orderBy(*order)
         return (out.offset(offset) if offset else out).limit(count)
 
+    def ranked(self, name: str, query: str, offset: int = 0, count: int = 10) -> DataFrame:
+        """A page of (key, score), best first, ties by key."""
+        i = self.get(name)
+        out = ranking.ranked(i.table, query, i.schema, i.key).orderBy(F.desc("score"), i.key)
+        return (out.offset(offset) if offset else out).limit(count)
+
     def aggregate(self, name: str, query: str, *args: str) -> DataFrame:
         i = self.get(name)
         return search.aggregate(i.table, i.schema, query, *args)

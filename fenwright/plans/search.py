@@ -3,12 +3,14 @@
 Query: `a b` is and, `a | b` or, `-a` not, parentheses group, `*` is every row.
 `@f:{v}` tag, `@f:[1 5]` closed numeric range, `@f:[lon lat r unit]` radius, `@f:word`,
 `@f:(group)`, `"a phrase"`, `pre*`, `*suf`, `*mid*`, `%fuzzy%` (one % per edit, up to three).
+Plain and fuzzy words and phrases also match by stem, in the schema's language, on fields that have stems.
 Predicates go to the scan with the rest of the plan; nothing is evaluated on the driver.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -16,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..functions.stemming import stem, stems, with_stem
 from ..functions.text import tokens
 
 # The default stop words.
@@ -26,11 +29,16 @@ STOP_WORDS = (
 
 @dataclass(frozen=True)
 class Field:
-    """kind: TAG, NUMERIC, TEXT, GEO (text "lon,lat") or VECTOR; column: where it is (default: name)."""
+    """kind: TAG, NUMERIC, TEXT, GEO (text "lon,lat") or VECTOR; column: where it is (default: name).
+
+    Words of a TEXT field also match by their stems, unless stem is false; its weight counts in the ranking.
+    """
 
     name: str
     kind: str
     column: str | None = None
+    weight: float = 1.0
+    stem: bool = True
 
     @property
     def col(self) -> Column:
@@ -38,8 +46,9 @@ class Field:
 
 
 class Schema:
-    def __init__(self, *fields: Field, stop_words: list[str] | None = None):
+    def __init__(self, *fields: Field, stop_words: list[str] | None = None, language: str = "english"):
         self.fields = {f.name: f for f in fields}
+        self.language = language
         self.stop = frozenset(STOP_WORDS if stop_words is None else stop_words)
 
     def field(self, name: str, *kinds: str) -> Field:
@@ -121,24 +130,40 @@ def parse(query: str):
     return out
 
 
-def _word(f: Field, w: str) -> Column:
-    t = tokens(f.col)
+def is_pattern(w: str) -> bool:
+    return w.startswith("%") or w.startswith("*") or w.endswith("*")
+
+
+def term_test(w: str) -> Callable[[Column], Column]:
+    """Whether a token fits a fuzzy word or one with wildcards."""
     if w.startswith("%"):
-        edits = len(w) - len(w.lstrip("%"))
-        word = w.strip("%").lower()
-        return F.exists(t, lambda x: F.levenshtein(x, F.lit(word), edits) >= 0)
+        edits, word = len(w) - len(w.lstrip("%")), w.strip("%").lower()
+        return lambda x: F.levenshtein(x, F.lit(word), edits) >= 0
     word = w.strip("*").lower()
-    if w.startswith("*") and w.endswith("*"):
-        return F.exists(t, lambda x: x.contains(word))
-    if w.endswith("*"):
-        return F.exists(t, lambda x: x.startswith(word))
     if w.startswith("*"):
-        return F.exists(t, lambda x: x.endswith(word))
-    return F.array_contains(t, word)
+        return (lambda x: x.contains(word)) if w.endswith("*") else (lambda x: x.endswith(word))
+    return lambda x: x.startswith(word)
+
+
+def indexed(f: Field, schema: Schema) -> Column:
+    """The field's tokens but for stop words, which no query meets."""
+    t = tokens(f.col)
+    return F.filter(t, lambda x: ~x.isin(*sorted(schema.stop))) if schema.stop else t
+
+
+def _word(f: Field, w: str, schema: Schema) -> Column:
+    t = indexed(f, schema)
+    hit = F.exists(t, term_test(w)) if is_pattern(w) else F.array_contains(tokens(f.col), w.lower())
+    if f.stem and (w.startswith("%") or not is_pattern(w)):
+        base = stem(w.strip("%").lower(), schema.language)
+        hit = hit | F.array_contains(with_stem(t, base, schema.language), base)
+    return hit
 
 
-def _phrase(f: Field, words: list[str], stop: frozenset) -> Column:
-    t = F.filter(tokens(f.col), lambda x: ~x.isin(*stop)) if stop else tokens(f.col)
+def _phrase(f: Field, words: list[str], schema: Schema) -> Column:
+    t = indexed(f, schema)
+    if f.stem:
+        t, words = stems(t, schema.language), [stem(w, schema.language) for w in words]
     joined = F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" "))
     return joined.contains(f" {' '.join(words)} ")
 
@@ -168,9 +193,9 @@ def compile_query(ast, schema: Schema) -> Column:
     fields = [schema.field(ast[1], "TEXT")] if ast[1] else schema.texts
     if kind == "phrase":
         words = [w for w in re.findall(r"\w+", ast[2].lower()) if w not in schema.stop]
-        parts = [_phrase(f, words, schema.stop) for f in fields] if words else []
+        parts = [_phrase(f, words, schema) for f in fields] if words else []
     else:
-        parts = [] if _is_stop(ast, schema) else [_word(f, ast[2]) for f in fields]
+        parts = [] if _is_stop(ast, schema) else [_word(f, ast[2], schema) for f in fields]
     return F.coalesce(reduce(lambda a, b: a | b, parts), F.lit(False)) if parts else F.lit(False)
 
 

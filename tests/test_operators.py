@@ -221,6 +221,53 @@ def test_indexes(spark):
     assert rows(suggestions(log).select("value", "score")) == [("x", 7.0), ("y", 1.0)]
 
 
+def test_ranking(spark):
+    from fenwright.plans.indexes import Catalog
+
+    texts = ["memory", "memory memory", "memory alpha beta gamma", "alpha memory", "alpha beta gamma delta"]
+    iso = spark.createDataFrame([(f"iso:{i + 1}", t) for i, t in enumerate(texts)], "key string, title string")
+    two = [("memory", "alpha"), ("alpha", "memory"), ("memory", "memory"), ("memory memory", "alpha"), ("alpha", "alpha")]
+    two = spark.createDataFrame([(f"iso:{i + 1}", *t) for i, t in enumerate(two)], "key string, title string, body string")
+    c = Catalog()
+    c.create("iso", iso, "key", search.Field("title", "TEXT"))
+    c.create("two", two, "key", search.Field("title", "TEXT", weight=5), search.Field("body", "TEXT"))
+
+    def same(got, want):
+        got = [tuple(r) for r in got.collect()]
+        assert [k for k, _ in got] == [k for k, _ in want]
+        assert all(abs(a - b) < 2e-8 for (_, a), (_, b) in zip(got, want))
+
+    term = [("iso:2", 0.8460367446819628), ("iso:1", 0.7689446095439446), ("iso:4", 0.6353441920936669), ("iso:3", 0.4715018478678896)]
+    same(c.ranked("iso", "@title:memory"), term)
+    same(c.ranked("iso", "@title:memory", offset=1, count=2), term[1:3])
+    same(c.ranked("iso", "*"), [("iso:1", 1.3364486062523577), ("iso:2", 1.104247106326305), ("iso:4", 1.104247106326305), ("iso:3", 0.8194842380157688), ("iso:5", 0.8194842380157688)])
+    weighted = [("iso:3", 0.9491278413584009), ("iso:4", 0.8810735839455638), ("iso:1", 0.8267504344545498), ("iso:2", 0.6110764028585098)]
+    same(c.ranked("two", "memory"), weighted)
+    # a phrase and a wildcard score by surface terms alone, so half of the term with its stem
+    same(c.ranked("iso", '"memory"'), [(k, s / 2) for k, s in term])
+    same(c.ranked("iso", "mem*"), [(k, s / 2) for k, s in term])
+    same(c.ranked("iso", "%memorx%"), [(k, s / 2) for k, s in term])
+    # and adds; not and unmatched branches add nothing
+    same(c.ranked("iso", "memory mem* -delta"), [(k, s * 1.5) for k, s in term])
+    assert c.ranked("iso", "nothing").count() == 0
+    assert c.ranked("iso", "@title:memory").schema == c.ranked("iso", "*").schema
+
+
+def test_stems(spark):
+    from fenwright.functions.stemming import english, german
+
+    families = {"hire": "hire hired hiring hires", "studi": "study studies studied", "run": "run runs running", "search": "searched searching", "relat": "relational", "poni": "ponies", "sky": "skies"}
+    assert all(english(w) == s for s, words in families.items() for w in words.split())
+    assert {german(w) for w in "haus hauses häuser häusern".split()} == {"haus"} and german("freundlichkeiten") == "freundlich"
+    t = spark.createDataFrame([(1, "He studied running"), (2, "a run of studies"), (3, None), (4, ""), (5, "studio")], "id int, text string")
+    ids = lambda q, **more: [r.id for r in search.search(t, q, search.Schema(search.Field("text", "TEXT", **more))).orderBy("id").collect()]
+    assert ids("study") == [1, 2] and ids("study", stem=False) == [] and ids('"study run"') == [1] and ids("-study") == [3, 4, 5]
+    de = search.Schema(search.Field("text", "TEXT"), language="german")
+    g = spark.createDataFrame([(1, "viele Häuser"), (2, "Hausen"), (3, "Öfen"), (4, "ofen")], "id int, text string")
+    assert [r.id for r in search.search(g, "haus", de).orderBy("id").collect()] == [1, 2]
+    assert [r.id for r in search.search(g, "ofen", de).orderBy("id").collect()] == [3, 4]
+
+
 def test_folds(spark):
     from fenwright.operators import folds
 
