@@ -34,6 +34,24 @@ def nearest(vectors: DataFrame, query: list[float], count: int = 10, where: Colu
     return out.orderBy(F.col("score").desc(), "element").limit(count)
 
 
+def set_attributes(vectors: DataFrame, delta: DataFrame) -> DataFrame:
+    """vectors (key, element, ..., attr JSON text) with the attributes of delta (key, element, attr); "" removes. Unknown elements are left out."""
+    new = delta.select("key", "element", F.col("attr").alias("_attr"), F.lit(True).alias("_set"))
+    out = vectors.join(new, ["key", "element"], "left")
+    attr = F.when(F.col("_set"), F.nullif("_attr", F.lit(""))).otherwise(F.col("attr"))
+    return out.select(*[attr.alias(c) if c == "attr" else F.col(c) for c in vectors.columns])
+
+
+def attributes(vectors: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, element, attr) of every wanted row, null where there is none."""
+    return wanted.select("key", "element").join(vectors.select("key", "element", "attr"), ["key", "element"], "left")
+
+
+def attribute(name: str) -> Column:
+    """A top-level attribute as text, for conditions of `nearest`; null where it is missing."""
+    return F.get_json_object("attr", f"$['{name}']")
+
+
 def within(vectors: DataFrame, query: list[float], distance: float) -> DataFrame:
     """Elements whose 1 - cosine is at most the distance."""
     d = F.lit(1.0) - cosine(F.col("vector"), query_vector(query))

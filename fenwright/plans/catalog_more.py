@@ -8,7 +8,7 @@ from ..functions import arrays, bitfield, jsonpath, text
 from ..operators import digests, keyed, places, ranked, series, sketches, streams, vectors
 from ..sources.tables import documents, table
 from . import catalog as base
-from . import ranking, search
+from . import indexes, ranking, search
 from .catalog import L, _customers, _events, _expiring, _groups, _lists, _stream, millis
 
 QUERIES = {}
@@ -514,6 +514,24 @@ def bm25_tree(s, d):
     return out.select(L("doc_id").alias("k"), base.r4("score").alias("score"))
 
 
+@query(
+    f"with {_WORDS}, q as (select doc_id, list_filter(range(1, len(t) + 1), lambda i: t[i] = 'ther') as x, list_filter(range(1, len(t) + 1), lambda i: t[i] = 'ra') as y from p) "
+    "select doc_id::bigint as k from q where len(list_filter(x, lambda i: len(list_filter(y, lambda j: j > i and j - i - 1 <= 20)) > 0)) > 0"
+)
+def ft_slop_inorder(s, d):
+    c = indexes.Catalog()
+    docs = table(s, d, "documents")
+    c.create("docs", docs, "doc_id", *base.DOCS.fields.values())
+    return c.search("docs", "@text:ther @text:ra", slop=20, in_order=True, count=1 << 30).select(L("doc_id").alias("k"))
+
+
+@query(f"select vec_id::bigint as k, round(1 - list_cosine_similarity(embedding::double[], {base._QS}), 4) as distance from embeddings order by list_cosine_similarity(embedding::double[], {base._QS}) desc, vec_id limit 10")
+def ft_knn(s, d):
+    c = indexes.Catalog()
+    c.create("vecs", table(s, d, "embeddings"), "vec_id", search.Field("embedding", "VECTOR"))
+    return c.search("vecs", "*=>[KNN 10 @embedding $q AS distance]", params={"q": base._Q}).select(L("vec_id").alias("k"), base.r4("distance").alias("distance"))
+
+
 @query(f"with {_WORDS} select doc_id::bigint as k, round(2.2 / (1 + 1.2 * (0.25 + 0.75 * dl / a)), 4) as score from p, st")
 def bm25_all(s, d):
     return ranking.ranked(table(s, d, "documents"), "*", base.DOCS, "doc_id").select(L("doc_id").alias("k"), base.r4("score").alias("score"))

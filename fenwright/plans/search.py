@@ -203,6 +203,13 @@ def _is_stop(ast, schema: Schema) -> bool:
     return ast[0] == "text" and ast[2].lower() in schema.stop
 
 
+def plain_words(ast, schema: Schema) -> list[str]:
+    """The words of the tree that are neither negated, patterns nor stop words, in written order."""
+    if ast[0] in ("and", "or"):
+        return [w for x in ast[1:] for w in plain_words(x, schema)]
+    return [ast[2].lower()] if ast[0] == "text" and not is_pattern(ast[2]) and not _is_stop(ast, schema) else []
+
+
 def search(df: DataFrame, query: str, schema: Schema) -> DataFrame:
     """Rows that the query matches."""
     return df.where(compile_query(parse(query), schema))

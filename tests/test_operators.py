@@ -268,6 +268,62 @@ def test_stems(spark):
     assert [r.id for r in search.search(g, "ofen", de).orderBy("id").collect()] == [3, 4]
 
 
+def test_near(spark):
+    from itertools import permutations
+
+    from fenwright.plans.indexes import near
+
+    texts = {i: " ".join(t) for i, t in enumerate(permutations("aabcx"))} | {1000: None, 1001: ""}
+    t = spark.createDataFrame(sorted(texts.items()), "id int, text string")
+
+    def brute(text, words, slop, in_order):
+        toks = (text or "").split()
+        picks = [p for p in permutations(range(len(toks)), len(words)) if [toks[i] for i in p] == words]
+        return any(max(p) - min(p) - len(words) + 1 <= slop and (not in_order or list(p) == sorted(p)) for p in picks)
+
+    for words in (["a", "b"], ["a", "a"], ["a", "b", "a"], ["b", "nope"]):
+        for slop in (0, 1):
+            for in_order in (True, False):
+                got = {r.id for r in near(t, "text", words, slop, in_order).collect()}
+                assert got == {i for i, x in texts.items() if brute(x, words, slop, in_order)}, (words, slop, in_order)
+
+
+def test_vector_queries(spark):
+    from fenwright.operators import vectors
+    from fenwright.plans.indexes import Catalog
+
+    data = [("a", "x", [1.0, 0.0], "one two"), ("b", "y", [0.0, 1.0], "two one"), ("c", "x", [1.0, 1.0], "one and two"), ("d", "x", None, "one"), ("e", "x", [1.0], None), ("f", "x", [0.0, 0.0], ""), ("g", "x", [float("nan"), 1.0], "two")]
+    t = spark.createDataFrame(data, "key string, kind string, v array<double>, title string")
+    c = Catalog()
+    c.create("i", t, "key", search.Field("v", "VECTOR"), search.Field("kind", "TAG"), search.Field("title", "TEXT"))
+    ask = lambda q, **more: [r.key for r in c.search("i", q, params={"p": [1.0, 0.0]}, **more).collect()]
+    assert ask("*=>[KNN 2 @v $p AS d]") == ["a", "c"] and ask("*=>[KNN 9 @v $p]") == ["a", "c", "b", "f"] and ask("*=>[KNN 0 @v $p]") == []
+    assert ask("@kind:{y}=>[KNN 3 @v $p]") == ["b"] and ask("*=>[KNN 2 @v $p AS d]", sort="d", descending=True) == ["c", "a"]
+    assert ask("@v:[VECTOR_RANGE 0.5 $p]") == ["a", "c"]
+    assert c.search("i", "*=>[KNN 1 @v $p AS d]", params={"p": [1, 0]}, returns=["key", "d"]).first() == ("a", 0.0)
+    for bad in ("*=>[KNN 2 @title $p]", "*=>[KNN 2 @v $q]", "*=>[KNN x @v $p]", "@v:[VECTOR_RANGE -1 $p]"):
+        with pytest.raises(ValueError):
+            ask(bad)
+    assert ask("one two", slop=0) == ["a", "b", "c"] and ask("one two", slop=0, in_order=True) == ["a", "c"]
+    v = spark.createDataFrame([("k", "a", [1.0], None), ("k", "b", [2.0], '{"y": 3}')], "key string, element string, vector array<double>, attr string")
+    w = vectors.set_attributes(v, spark.createDataFrame([("k", "a", '{"y": 1}'), ("k", "b", ""), ("k", "z", "{}")], "key string, element string, attr string"))
+    assert rows(w.select("element", "attr")) == [("a", '{"y": 1}'), ("b", None)]
+    assert [r.element for r in vectors.nearest(w, [1.0], where=vectors.attribute("y") == "1").collect()] == ["a"]
+    assert rows(vectors.attributes(w, spark.createDataFrame([("k", "a"), ("k", "q")], "key string, element string"))) == [("k", "a", '{"y": 1}'), ("k", "q", None)]
+
+
+def test_dictionaries(spark):
+    from fenwright.plans import indexes
+
+    d = spark.createDataFrame([("d", "b"), ("e", "x")], "dict string, term string")
+    d = indexes.dictionary_add(d, spark.createDataFrame([("d", "a"), ("d", "b"), ("d", None)], "dict string, term string"))
+    assert [r.term for r in indexes.dictionary_terms(d, "d").collect()] == ["a", "b"]
+    assert rows(indexes.dictionary_delete(d, spark.createDataFrame([("d", "b"), ("d", "q")], "dict string, term string"))) == [("d", "a"), ("e", "x")]
+    log = spark.createDataFrame([("x", 5.0, None, False, 1), ("y", 1.0, None, True, 3)], "value string, score double, payload string, incr boolean, seq int")
+    left = indexes.delete_suggestions(log, spark.createDataFrame([("x",)], "value string"))
+    assert rows(indexes.suggestion_count(indexes.suggestions(left))) == [(1,)]
+
+
 def test_folds(spark):
     from fenwright.operators import folds
 
