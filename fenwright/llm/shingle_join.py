@@ -8,13 +8,20 @@ and enough of them: what lies behind the shorter-reaching prefix adds no more th
 its length. Where few classes meet in a shingle, their pairs are counted and
 held against that bound; where many meet, they are chained in order of length,
 across the length bound not, and map tasks chain what they hold themselves, so a
-frequent shingle costs some rows per task. Pairs and chains make blocks. The sets
+frequent shingle costs some rows per task. Few means as many as the counts by hash
+may hide: the larger the input, the fuller the table, and a shingle that it cannot
+tell from a rare one stands in any prefix; chained, such shingles would join all
+documents into one block. Pairs and chains make blocks. The sets
 of blocks' classes are then
 compared: inside tiles of bounded size, pairs come from the prefix index, pass
 the positional bound at their first shared shingle and a suffix bound (parity
 sketches of the sets, whose difference never exceeds the sets' difference), and are
-verified exactly once. A pair whose classes are already joined in its tile is
-left out, since it could not change a component.
+verified exactly. A block of several tiles is compared in two rounds. In the first
+each tile is compared by itself, with some pivots of the block in all of its tiles,
+so a large group of near copies becomes one component and its sets are sent once. In
+the second, tiles are compared with each other, but not those of one component.
+A pair whose classes are already joined is left out, since it could not change a
+component.
 
 Shingles and classes are compared by 64-bit hash.
 
@@ -33,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import binary_column, bitmap_of, cut, has_bit, hashes, release, row_key
@@ -41,9 +48,11 @@ from .graph import components, in_groups, pairs_within
 
 RARITY_BITS = 22
 CHUNK = 4096
-FLUSH = 1_500_000
-FEW = 4  # classes of a shingle that are paired; more are chained
+FLUSH = 500_000
+FEW = 16  # classes of a shingle that are paired, or as many as the rarity table may hide; more are chained
+PAIRS = 1_000_000  # that a task holds before it sums them up
 TILE, TILE_SHINGLES = 128, 500_000
+PIVOTS = 8  # classes, on average, that are in all tiles of a block
 SKETCH_BITS = 1024
 MAP_BITS = 24  # of the fixed-size filter that spares reading sets of documents without a partner
 
@@ -100,7 +109,7 @@ def _survey(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
-        table = np.zeros(1 << RARITY_BITS, np.int64)
+        table = np.zeros(1 << RARITY_BITS, np.uint32)
         schema = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("chunk", pa.int32()), ("salt", pa.int32()), ("data", pa.binary())])
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
@@ -145,6 +154,11 @@ def _ordered(s: np.ndarray, rarity: np.ndarray) -> np.ndarray:
     return s[np.argsort(rarity[_slot(s)], kind="stable")]
 
 
+def _few(rarity: np.ndarray) -> int:
+    """Classes of a shingle that the counts by hash may hide: three standard deviations of what else is in its slot."""
+    return max(FEW, int(3 * np.sqrt(rarity.mean())))
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -187,13 +201,13 @@ def _meeting(a: np.ndarray, b: np.ndarray, meta: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b), pa.array(meta)], names=["a", "b", "meta"])
 
 
-def _split_few(gram: np.ndarray, barred: np.ndarray) -> np.ndarray:
-    """Whether each row's shingle has at most FEW rows, none of them barred."""
+def _split_few(gram: np.ndarray, barred: np.ndarray, most: int) -> np.ndarray:
+    """Whether each row's shingle has at most `most` rows, none of them barred."""
     o = np.argsort(gram, kind="stable")
     g = gram[o]
     new = np.append(True, g[1:] != g[:-1]) if len(g) else np.zeros(0, bool)
     group = np.cumsum(new) - 1
-    few = (np.bincount(group) <= FEW) & (np.bincount(group, weights=barred[o]) == 0) if len(g) else new
+    few = (np.bincount(group) <= most) & (np.bincount(group, weights=barred[o]) == 0) if len(g) else new
     out = np.zeros(len(g), bool)
     out[o] = few[group]
     return out
@@ -206,8 +220,39 @@ def _edges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(e[:, 0]), np.ascontiguousarray(e[:, 1])
 
 
+def _counted(gram: np.ndarray, cls: np.ndarray, n: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(a, b, na, nb, shared): pairs of classes within the length bound and how many of these shingles they share.
+
+    A pair may come several times; its numbers are then summed up.
+    """
+    o = np.argsort(gram, kind="stable")
+    g = gram[o]
+    names, first, at = np.unique(cls[o], return_index=True, return_inverse=True)
+    size = n[o][first]
+    found, held = [], 0
+
+    def flush() -> tuple[np.ndarray, ...]:
+        nonlocal held
+        key, shared = np.unique(np.concatenate(found), return_counts=True)
+        found.clear()
+        held = 0
+        i, j = key // len(names), key % len(names)
+        return names[i], names[j], size[i], size[j], shared
+
+    for i, j in pairs_within(np.flatnonzero(np.append(True, g[1:] != g[:-1])), len(g)):
+        x, y = np.minimum(at[i], at[j]), np.maximum(at[i], at[j])
+        ok = (x != y) & (np.minimum(size[x], size[y]) * 100 >= np.maximum(size[x], size[y]) * percent)
+        found.append(x[ok] * len(names) + y[ok])
+        held += len(found[-1])
+        if held > PAIRS:
+            yield flush()
+    if held:
+        yield flush()
+
+
 def _blocks(docs: DataFrame, rarity, width: int, percent: int) -> DataFrame:
     """Edges (a, b) of classes that may link or are chained; every pair that links is connected by them."""
+    most = _few(rarity.value)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(shingle, class, length) of prefixes, (shingle, class, merged lengths) of chains, (class, class, _EDGE)."""
@@ -219,7 +264,7 @@ def _blocks(docs: DataFrame, rarity, width: int, percent: int) -> DataFrame:
             k = np.array(list(map(len, grams)))
             n = np.repeat(np.array(sizes, np.int64), k)
             g, c = np.concatenate(grams), np.repeat(np.array(classes, np.int64), k)
-            few = _split_few(g, np.zeros(len(g)))
+            few = _split_few(g, np.zeros(len(g)), most)
             for at in range(0, len(g), 200_000):
                 on = few[at : at + 200_000]
                 yield _meeting(g[at : at + 200_000][on], c[at : at + 200_000][on], n[at : at + 200_000][on])
@@ -257,23 +302,12 @@ def _blocks(docs: DataFrame, rarity, width: int, percent: int) -> DataFrame:
         merged = meta >= _MERGED
         low = meta & (1 << 31) - 1
         high = np.where(merged, (meta ^ _MERGED) >> 31, meta)
-        few = _split_few(g, merged)
+        few = _split_few(g, merged, most)
         _, x, y = _chains(g[~few], c[~few], low[~few], high[~few], percent)
         p, q = _edges(np.concatenate([p, x]), np.concatenate([q, y]))
-        pairs = np.zeros((0, 4), np.int64)
-        if few.any():
-            g, c, n = g[few], c[few], low[few]
-            o = np.argsort(g, kind="stable")
-            g, c, n = g[o], c[o], n[o]
-            start = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-            found = [np.stack([np.where(c[i] < c[j], i, j), np.where(c[i] < c[j], j, i)], 1) for i, j in pairs_within(start, len(g))]
-            if found:
-                i, j = np.concatenate(found).T
-                ok = (c[i] != c[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent)
-                pairs = np.stack([c[i], c[j], n[i], n[j]], 1)[ok]
-        pairs, shared = np.unique(pairs, axis=0, return_counts=True)
-        for x, y, n, m, k in ((*pairs.T, shared), (p, q, np.zeros(len(p), np.int64), np.zeros(len(p), np.int64), np.full(len(p), 1 << 40))):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v).astype(np.int64)) for v in (x, y, n, m, k)], names=["a", "b", "na", "nb", "shared"])
+        chained = p, q, np.zeros(len(p), np.int64), np.zeros(len(p), np.int64), np.full(len(p), 1 << 40)
+        for out in (*(_counted(g[few], c[few], low[few], percent) if few.any() else ()), chained):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v).astype(np.int64)) for v in out], names=["a", "b", "na", "nb", "shared"])
 
     met = in_groups(docs.mapInArrow(emit, "a long, b long, meta long"), ["a"], meet, "a long, b long, na long, nb long, shared long", 200_000)
     behind = lambda n: f"({percent} * {n} + 99) div 100 - 1"
@@ -282,8 +316,9 @@ def _blocks(docs: DataFrame, rarity, width: int, percent: int) -> DataFrame:
 
 
 def _compare(t: pa.Table, first: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
-    """Verified edges inside each tile or tile pair, as a spanning forest."""
+    """Verified edges inside each tile or tile pair, as a spanning forest over the components that are there already."""
     ends = np.append(first, t.num_rows)
+    comp = t.column("comp").to_numpy()
     cls, own, cross = t.column("class").to_numpy(), t.column("own").to_numpy(), t.column("ta").to_numpy() != t.column("tb").to_numpy()
     data = t.column("data")
     out_a, out_b = [], []
@@ -291,7 +326,10 @@ def _compare(t: pa.Table, first: np.ndarray, percent: int) -> Iterator[pa.Record
         _, keep = np.unique(cls[lo:hi], return_index=True)  # a class may be read from several equal documents
         if len(keep) < 2:
             continue
-        c, side = cls[lo:hi][keep], own[lo:hi][keep]
+        c, side, old = cls[lo:hi][keep], own[lo:hi][keep], comp[lo:hi][keep]
+        _, head, old = np.unique(old, return_index=True, return_inverse=True)
+        if len(head) < 2:
+            continue
         sets = [np.frombuffer(data[int(lo + i)].as_py(), np.uint64) for i in keep]
         n = np.array(list(map(len, sets)))
         k = [prefix_length(x, percent) for x in n]
@@ -307,7 +345,7 @@ def _compare(t: pa.Table, first: np.ndarray, percent: int) -> Iterator[pa.Record
                 i, j = i[ok], j[ok]
             x, y = doc[i], doc[j]
             small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
-            ok = small * 100 >= large * percent
+            ok = (small * 100 >= large * percent) & (old[x] != old[y])
             found.append(np.stack([x[ok] * len(sets) + y[ok], pos[i][ok], pos[j][ok]], 1))
         if not found:
             continue
@@ -322,7 +360,7 @@ def _compare(t: pa.Table, first: np.ndarray, percent: int) -> Iterator[pa.Record
         differ = np.concatenate([np.bitwise_count(sketch[x[a : a + 50_000]] ^ sketch[y[a : a + 50_000]]).sum(1, dtype=np.int64) for a in range(0, len(x), 50_000)] or [np.zeros(0, np.int64)])
         ok = differ <= n[x] + n[y] - 2 * need
         x, y, need, differ = x[ok], y[ok], need[ok], differ[ok]
-        root = list(range(len(sets)))
+        root = head[old].tolist()
 
         def find(i: int) -> int:
             while root[i] != i:
@@ -347,6 +385,40 @@ def _compare(t: pa.Table, first: np.ndarray, percent: int) -> Iterator[pa.Record
     yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
 
+def _tiles(classes: str, shingles: str) -> Column:
+    return F.greatest(F.ceil(F.sum(classes) / TILE), F.ceil(F.sum(shingles) / TILE_SHINGLES)).cast("int")
+
+
+def _alone(members: DataFrame) -> DataFrame:
+    """class, read, block, own, others, comp: each class in its tile only, and pivots in all tiles of their block."""
+    tiles = members.groupBy(F.col("block").alias("bl")).agg(_tiles("one", "n").alias("tiles"))
+    pivot = F.pmod(F.xxhash64("class", F.lit(1)), F.col("tiles") * F.lit(max(1, TILE // PIVOTS))) == 0
+    own = F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int")
+    everywhere = F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array(own)))
+    return members.join(tiles, F.col("block") == F.col("bl")).select("class", "read", "block", everywhere.alias("own")).select("*", F.array("own").alias("others"), F.col("class").alias("comp"))
+
+
+def _apart(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """The same for blocks of several tiles that are not one component yet: components of a tile or more have tiles of their
+    own, which need not be compared with each other; all other classes of the block share tiles."""
+    large = members.groupBy(F.col("block").alias("bl")).agg(_tiles("one", "n").alias("tiles")).where("tiles > 1").select("bl")
+    held = members.join(large, F.col("block") == F.col("bl")).join(joined, F.col("class") == F.col("node"), "left")
+    held = held.select("class", "read", "n", "block", F.coalesce("component", "class").alias("comp"))
+    parts = held.groupBy("block", "comp").agg(F.count("*").alias("one"), F.sum("n").alias("n"))
+    # 0 stands for the shared tiles; a component of that name, were there one, would be compared with itself for nothing
+    parts = parts.withColumn("part", F.when((F.col("one") >= TILE) | (F.col("n") >= TILE_SHINGLES), F.col("comp")).otherwise(F.lit(0)))
+    kinds = parts.groupBy("block", "part").agg(_tiles("one", "n").alias("tiles"), F.count("*").alias("comps"))
+    block = Window.partitionBy("block")
+    before = F.sum("tiles").over(block.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    kinds = kinds.select("block", "part", "tiles", F.coalesce(before, F.lit(0)).cast("int").alias("start"), F.sum("tiles").over(block).cast("int").alias("all"), F.sum("comps").over(block).alias("comps"))
+    kinds = kinds.where("comps > 1").select(F.col("block").alias("kb"), F.col("part").alias("kp"), "tiles", "start", "all")
+    where = parts.select(F.col("block").alias("pb"), F.col("comp").alias("pc"), "part").join(kinds, (F.col("pb") == F.col("kb")) & (F.col("part") == F.col("kp")))
+    placed = held.join(where, (F.col("block") == F.col("pb")) & (F.col("comp") == F.col("pc")))
+    own = F.col("start") + F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("all") - 1), lambda x: (F.col("part") == 0) | (x < F.col("start")) | (x >= F.col("start") + F.col("tiles")))
+    return placed.select("class", "read", "block", own.alias("own"), others.alias("others"), "comp")
+
+
 def groups(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """row_key, doc_id, n_shingles, component_id, component of every document.
 
@@ -363,33 +435,41 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     release(spark)
     block = components(meetings)
     reads = slim.where("class is not null").groupBy("class").agg(F.min("row_key").alias("read"), F.first("n").alias("n"))
-    members = cut(block.join(reads, F.col("node") == F.col("class")).select("class", "read", "n", F.col("component").alias("block")))
+    members = cut(block.join(reads, F.col("node") == F.col("class")).select("class", "read", "n", F.col("component").alias("block"), F.lit(1).alias("one")))
     release(spark)
-    wanted = spark.sparkContext.broadcast(bitmap_of(members, "read", MAP_BITS))
 
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, cache = rarity.value, {}
-        for whole in batches:
-            w = whole.filter(pa.array(has_bit(wanted.value, whole.column("row_key").to_numpy(), MAP_BITS)))
-            for at in range(0, w.num_rows, 200):
-                b = w.slice(at, 200)
-                cls, key, data = [], [], []
-                for k, s in zip(b.column("row_key").to_pylist(), _sets(binary_column(b, "text"), width, cache), strict=True):
-                    if len(s):
-                        cls.append(_class(s))
-                        key.append(k)
-                        data.append(_ordered(s, counts).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(key, pa.int64()), pa.array(data, pa.binary())], names=["c", "k", "data"])
-
-    tiles = members.groupBy(F.col("block").alias("bl")).agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles"))
-    placed = members.join(tiles, F.col("block") == F.col("bl")).select("class", "read", "block", "tiles", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int").alias("own"))
-    sets = rows.select("row_key", "text").mapInArrow(fetch, "c long, k long, data binary")
-    held = sets.join(placed, (F.col("c") == F.col("class")) & (F.col("k") == F.col("read")))
-    tiled = held.select("block", "class", "own", "data", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")).select(
-        "block", F.least("own", "other").alias("ta"), F.greatest("own", "other").alias("tb"), "class", "own", "data"
-    )
-    links = in_groups(tiled, ["block", "ta", "tb"], lambda t, first: _compare(t, first, percent), "a long, b long", 2_000)
+    def tiled(placed: DataFrame) -> DataFrame:
+        """(block, ta, tb, class, own, comp, data): the set of each class in the pairs of its tile `own` with those in `others`."""
+        wanted = spark.sparkContext.broadcast(bitmap_of(placed, "read", MAP_BITS))
+
+        def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts, cache = rarity.value, {}
+            for whole in batches:
+                w = whole.filter(pa.array(has_bit(wanted.value, whole.column("row_key").to_numpy(), MAP_BITS)))
+                for at in range(0, w.num_rows, 200):
+                    b = w.slice(at, 200)
+                    cls, key, data = [], [], []
+                    for k, s in zip(b.column("row_key").to_pylist(), _sets(binary_column(b, "text"), width, cache), strict=True):
+                        if len(s):
+                            cls.append(_class(s))
+                            key.append(k)
+                            data.append(_ordered(s, counts).tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(key, pa.int64()), pa.array(data, pa.binary())], names=["c", "k", "data"])
+
+        sets = rows.select("row_key", "text").mapInArrow(fetch, "c long, k long, data binary")
+        held = sets.join(placed, (F.col("c") == F.col("class")) & (F.col("k") == F.col("read")))
+        return held.select("block", "class", "own", "comp", "data", F.explode("others").alias("other")).select(
+            "block", F.least("own", "other").alias("ta"), F.greatest("own", "other").alias("tb"), "class", "own", "comp", "data"
+        )
+
+    def compared(placed: DataFrame) -> DataFrame:
+        return cut(in_groups(tiled(placed), ["block", "ta", "tb"], lambda t, first: _compare(t, first, percent), "a long, b long", 2_000))
+
+    links = compared(_alone(members))
     joined = components(links)
+    apart = cut(_apart(members, joined))
+    if not apart.isEmpty():
+        joined = components(links.union(compared(apart)))
     named = slim.join(joined, F.col("class") == F.col("node"), "left").select("row_key", "doc_id", "n", F.coalesce("component", "class").alias("comp"))
     named = cut(named)
     least = named.where("comp is not null").groupBy(F.col("comp").alias("g")).agg(F.min("doc_id").alias("least"))

@@ -514,6 +514,52 @@ def test_shingle_join_in_a_large_group(spark, monkeypatch):
     assert sorted(map(tuple, got), key=str) == linked(rows)
 
 
+def test_shingle_join_sends_the_sets_of_a_large_group_once(spark, monkeypatch):
+    monkeypatch.setattr(shingle_join, "TILE", 8)
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(160):
+        w = list(base)
+        for _ in range(2):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10_000)}"
+        rows.append((i, " ".join(w)))
+    # shares the common words of the group, but is not near it
+    rows.append((160, " ".join(base[:150] + [f"y{i}" for i in range(60)])))
+    sent = []
+
+    def counted(df, keys, *more):
+        if "block" in keys:
+            sent.append(df.count())
+        return graph.in_groups(df, keys, *more)
+
+    monkeypatch.setattr(shingle_join, "in_groups", counted)
+    got = shingle_join.groups(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=str) == linked(rows)
+    assert sent and sum(sent) < 6 * len(rows)
+
+
+def test_shingles_that_the_rarity_table_hides_do_not_join_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(shingle_join, "CHUNK", 4)
+    monkeypatch.setattr(shingle_join, "RARITY_BITS", 4)
+    rng = random.Random(12)
+    passages = [[f"p{k}-{i}" for i in range(12)] for k in range(40)]
+    rows = []
+    for i in range(120):
+        w = [f"r{i}-{k}" for k in range(40)]
+        for k in rng.sample(range(40), 3):
+            w += passages[k] + [f"s{i}-{k}"]
+        rows.append((i, " ".join(w)))
+    rows.append((120, rows[3][1] + " more"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    full = shingle_join._rarity(shingle_join._survey(df.selectExpr("xxhash64(doc_id) as row_key", "doc_id", "text"), 5))
+    edges = shingle_join._blocks(df.select("text"), spark.sparkContext.broadcast(full), 5, 75)
+    sizes = graph.components(edges).groupBy("component").count().collect()
+    assert [r["count"] for r in sizes] == [2]
+    got = shingle_join.groups(df).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=str) == linked(rows)
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1040)]
