@@ -581,6 +581,35 @@ def test_one_row_of_a_group_stays_whatever_its_ids(spark):
 # pipeline
 
 
+def test_ngram_join_stage_sends_few_sets(spark, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(shingle_join, "CHUNK", 4)
+    monkeypatch.setattr(shingle_join, "RARITY_BITS", 4)
+    monkeypatch.setattr(shingle_join, "TILE", 8)
+    rng = random.Random(13)
+    passages = [[f"p{k}-{i}" for i in range(12)] for k in range(30)]
+    rows = []
+    for i in range(90):
+        w = [f"r{i}-{k}" for k in range(40)]
+        for k in rng.sample(range(30), 3):
+            w += passages[k] + [f"s{i}-{k}"]
+        rows.append((i, " ".join(w)))
+    rows.append((90, rows[3][1] + " more"))
+    sent = []
+
+    def counted(df, keys, *more):
+        if "block" in keys:
+            sent.append(df.count())
+        return graph.in_groups(df, keys, *more)
+
+    monkeypatch.setattr(shingle_join, "in_groups", counted)
+    stage = dict(corpus_pipeline.STAGES)["ngram_join"]
+    kept = stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(some(kept, "doc_id")) == list(range(90))
+    assert sum(sent) <= 4
+
+
 def test_classifier_does_not_depend_on_partitions(docs):
     got = {r.doc_id: r.kept for r in weak.classify(docs).collect()}
     again = {r.doc_id: r.kept for r in weak.classify(docs.repartition(7)).collect()}
