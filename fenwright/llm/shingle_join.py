@@ -50,6 +50,7 @@ RARITY_BITS = 22
 CHUNK = 4096
 FLUSH = 500_000
 FEW = 16  # classes of a shingle that are paired, or as many as the rarity table may hide; more are chained
+WORDS = 60_000  # whose hashes a task keeps
 PAIRS = 1_000_000  # that a task holds before it sums them up
 TILE, TILE_SHINGLES = 128, 500_000
 PIVOTS = 8  # classes, on average, that are in all tiles of a block
@@ -81,7 +82,7 @@ def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
 
 def _sets(texts: list[bytes], width: int, cache: dict) -> Iterator[np.ndarray]:
     for t in texts:
-        yield shingle_set(hashes(t.lower().split(), cache), width)
+        yield shingle_set(hashes(t.lower().split(), cache, WORDS), width)
 
 
 def _class(s: np.ndarray) -> int:

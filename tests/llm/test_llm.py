@@ -581,6 +581,12 @@ def test_one_row_of_a_group_stays_whatever_its_ids(spark):
 # pipeline
 
 
+def test_ngram_join_tasks_keep_few_words():
+    cache = {}
+    for _ in shingle_join._sets([" ".join(f"{i}-{k}" for k in range(1000)).encode() for i in range(100)], 5, cache):
+        assert len(cache) <= 61_000
+
+
 def test_ngram_join_stage_sends_few_sets(spark, monkeypatch):
     import corpus_pipeline
 
