@@ -320,6 +320,12 @@ def test_a_large_group_of_near_copies(spark):
     assert {r.doc_id: r.n for r in lines.dedup(df).select("doc_id", F.col("_dedup.n_removed").alias("n")).collect()} == {i: want[i] for i, _ in rows}
 
 
+def test_lines_are_all_compared_when_few_documents_give_the_order(spark, docs, monkeypatch):
+    want = sorted(map(tuple, queries.op5_lines(spark, FOLDER).collect()), key=str)
+    monkeypatch.setattr(lines, "SAMPLE", 2)
+    assert sorted(map(tuple, queries.op5_lines(spark, FOLDER).collect()), key=str) == want
+
+
 # 6
 
 
