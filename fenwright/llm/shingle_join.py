@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary_column, bitmap_of, cut, has_bit, hashes, release, row_key
+from .common import binary_column, bit_test, bitmap_of, cut, has_bit, hashes, release, row_key
 from .graph import components, in_groups, pairs_within
 
 RARITY_BITS = 22
@@ -483,15 +483,21 @@ def keep_first(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """docs with one row of each component, that of the smallest doc_id (null last), then of the smallest row_key; all columns stay.
 
     Rows with the kept doc_id and text are copies of one document: of them the one with the smallest hash of all its
-    columns stays. They are summed up before they meet, so a row may be a third of the table.
+    columns stays. They are summed up before they meet, so a row may be a third of the table. Only rows that
+    go or are copies, and a few that a bit filter takes for such, are sent; the others pass from the scan.
     """
+    spark = docs.sparkSession
+    release(spark)
     text = F.col("text").cast("string")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))["row_key"]
     g = groups(docs, width, percent)
     winners = g.groupBy(F.coalesce("component", "row_key").alias("c"), F.col("component").isNull()).agg(first.alias("_g_key"))
-    counted = g.groupBy(F.col("row_key").alias("w_key")).agg(F.count("*").alias("_same"))
-    winners = winners.join(counted, F.col("_g_key") == F.col("w_key")).select("_g_key", "_same")
-    held = docs.select(F.struct("*").alias("r"), F.xxhash64("doc_id", text).alias("k"), row_key(docs).alias("whole")).join(winners, F.col("k") == F.col("_g_key"))
-    single = held.where("_same = 1").select("r")
-    repeated = held.where("_same > 1").groupBy("k").agg(F.min_by("r", "whole").alias("r")).select("r")
-    return single.unionAll(repeated).select(*[F.col("r").getField(c).alias(c) for c in docs.columns])
+    counted = g.groupBy(F.col("row_key").alias("w_key")).agg(F.count("*").alias("same"))
+    judged = counted.join(winners, F.col("w_key") == F.col("_g_key"), "left").select("w_key", "same", F.col("_g_key").isNotNull().alias("stays"))
+    doubtful = cut(judged.where("same > 1 or not stays").select("w_key", "stays"))
+    release(spark)
+    in_doubt = bit_test(doubtful, "w_key")
+    held = docs.select(F.struct("*").alias("r"), F.xxhash64("doc_id", text).alias("k"), row_key(docs).alias("whole"))
+    sent = held.where(in_doubt(F.col("k"))).groupBy("k").agg(F.min_by("r", "whole").alias("r")).join(doubtful, F.col("k") == F.col("w_key"), "left")
+    kept = held.where(~in_doubt(F.col("k"))).select("r").unionAll(sent.where("w_key is null or stays").select("r"))
+    return kept.select(*[F.col("r").getField(c).alias(c) for c in docs.columns])

@@ -622,6 +622,35 @@ def test_ngram_join_stage_sends_few_sets(spark, monkeypatch):
     assert sum(sent) <= 4
 
 
+def shuffled_bytes(df):
+    """Bytes of the rows that the plan of df sends when it is collected."""
+    df.collect()
+    todo, total = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "ShuffleExchangeExec":
+            total += node.metrics().apply("dataSize").value()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def test_ngram_join_stage_does_not_send_rows_that_stay(spark):
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    rows = [(i, " ".join(f"{rng.getrandbits(60):x}" for _ in range(60))) for i in range(400)]
+    rows += [(400, rows[3][1]), (5, rows[5][1]), (6, rows[6][1] + " more"), (None, rows[7][1] + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = dict(corpus_pipeline.STAGES)["ngram_join"](spark, docs, "")
+    assert shuffled_bytes(kept) < 0.3 * sum(len(t) for _, t in rows)
+    assert sorted(some(kept, "doc_id")) == list(range(400))
+
+
 def test_classifier_does_not_depend_on_partitions(docs):
     got = {r.doc_id: r.kept for r in weak.classify(docs).collect()}
     again = {r.doc_id: r.kept for r in weak.classify(docs.repartition(7)).collect()}
