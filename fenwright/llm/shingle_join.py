@@ -133,17 +133,22 @@ def _survey(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "row_key long, doc_id long, class long, n long, chunk int, salt int, data binary")
 
 
-def _rarity(survey: DataFrame) -> np.ndarray:
-    """Counts by hash over all documents: 2 ** RARITY_BITS numbers for any input."""
+def _summed(t: pa.Table, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row of counts for each group; rows are unpacked one at a time, since a batch may have thousands of them."""
+    data, out = t.column("data"), []
+    for lo, hi in zip(first, np.append(first[1:], t.num_rows), strict=True):
+        total = np.zeros(CHUNK, np.uint64)
+        for i in range(int(lo), int(hi)):
+            total += _counts(data[i].as_py())
+        out.append(_squeeze(np.minimum(total, 0xFFFFFFFF)))
+    yield pa.RecordBatch.from_arrays([t.column("chunk").take(pa.array(first)).combine_chunks(), pa.array(np.zeros(len(first), np.int32)), pa.array(out, pa.binary())], names=["chunk", "salt", "data"])
 
-    def add(t: pa.Table, first: np.ndarray) -> Iterator[pa.RecordBatch]:
-        x = np.stack([_counts(d) for d in t.column("data").to_pylist()])
-        total = np.minimum(np.add.reduceat(x, first, axis=0), 0xFFFFFFFF)
-        yield pa.RecordBatch.from_arrays([t.column("chunk").take(pa.array(first)).combine_chunks(), pa.array(np.zeros(len(first), np.int32)), pa.array([_squeeze(r) for r in total], pa.binary())], names=["chunk", "salt", "data"])
 
+def _rarity(survey: DataFrame) -> np.ndarray:
+    """Counts by hash over all documents: 2 ** RARITY_BITS numbers for any input."""
     some = survey.where("data is not null").select("chunk", "salt", "data")
     kinds = "chunk int, salt int, data binary"
-    total = in_groups(in_groups(some, ["chunk", "salt"], add, kinds, 500), ["chunk"], add, kinds, 500).collect()
+    total = in_groups(in_groups(some, ["chunk", "salt"], _summed, kinds, 500), ["chunk"], _summed, kinds, 500).collect()
     out = np.zeros((1 << RARITY_BITS) // CHUNK * CHUNK, np.uint32).reshape(-1, CHUNK)
     for r in total:
         out[r["chunk"]] = _counts(bytes(r["data"]))

@@ -6,9 +6,11 @@ import json
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -593,6 +595,21 @@ def test_ngram_join_tasks_keep_few_words():
         assert len(cache) <= 61_000
 
 
+def test_counts_of_shingles_are_summed_in_little_memory():
+    rng = np.random.default_rng(5)
+    parts = rng.integers(0, 300, (3, shingle_join.CHUNK))
+    data = [shingle_join._squeeze(p.astype(np.uint64)) for p in parts] * 500
+    t = pa.table({"chunk": pa.array([2] * 1000 + [7] * 500, pa.int32()), "salt": pa.array([0] * 1500, pa.int32()), "data": pa.array(data, pa.binary())})
+    tracemalloc.start()
+    (got,) = shingle_join._summed(t, np.array([0, 1000]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4_000_000
+    assert got.column("chunk").to_pylist() == [2, 7]
+    expected = [333 * parts.sum(0) + parts[0], 166 * parts.sum(0) + parts[1] + parts[2]]
+    assert all((shingle_join._counts(d) == e).all() for d, e in zip(got.column("data").to_pylist(), expected, strict=True))
+
+
 def test_ngram_join_stage_sends_few_sets(spark, monkeypatch):
     import corpus_pipeline
 
