@@ -150,6 +150,15 @@ def tokens(c: Column | str) -> Column:
     return F.filter(F.split(F.lower(col(c)), r"[^\p{L}\p{Nd}_]+"), lambda x: x != "")
 
 
+def within_edits(a: Column, b: Column, most: int, bytewise: bool = False) -> Column:
+    """Whether at most so many edits of characters, or of their UTF-8 bytes, part a and b."""
+    if not bytewise:
+        return F.levenshtein(a, b, most) >= 0
+    one_each = (F.octet_length(a) == F.char_length(a)) & (F.octet_length(b) == F.char_length(b))
+    latin = lambda c: F.decode(c.cast("binary"), "ISO-8859-1")  # noqa: E731  one character a byte
+    return F.levenshtein(F.when(one_each, a).otherwise(latin(a)), F.when(one_each, b).otherwise(latin(b)), most) >= 0
+
+
 def _lcs(a: str | None, b: str | None) -> str | None:
     if a is None or b is None:
         return None

@@ -120,8 +120,7 @@ def ranked(df: DataFrame, query: str, schema: Schema, key: str) -> DataFrame:
     known = _total([F.when(F.col(f"_on{i}"), score(F.col(f"_tf{i}"), F.col(f"_df{i}"))).otherwise(F.lit(0.0)) for i in range(n)])
     out = both.where("_hit").select(key, known.cast("double").alias("score"), "_n", norm.alias("_norm"))
     for j, (value, owner) in enumerate(patterns):
-        test = term_test(value)
-        found = [_found(f, test, owner) for f in schema.texts]
+        found = [_found(f, term_test(value, f.bytewise), owner) for f in schema.texts]
         rows = base.select(key, F.explode(F.concat(*found)).alias("x")).groupBy(key, F.col("x.t").alias("_t")).agg(F.sum("x.w").alias("_f"), F.bool_or("x.own").alias("_own"))
         rows = rows.join(rows.groupBy("_t").agg(F.count("*").alias("_rows")), "_t").where("_own")
         idf = F.log(1 + (F.col("_n") - F.col("_rows") + 0.5) / (F.col("_rows") + 0.5))

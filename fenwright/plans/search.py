@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.stemming import stem, stems, with_stem
-from ..functions.text import tokens
+from ..functions.text import tokens, within_edits
 
 # The default stop words.
 STOP_WORDS = (
@@ -32,6 +32,7 @@ class Field:
     """kind: TAG, NUMERIC, TEXT, GEO (text "lon,lat") or VECTOR; column: where it is (default: name).
 
     Words of a TEXT field also match by their stems, unless stem is false; its weight counts in the ranking.
+    An edit of a fuzzy word is one of a character or, if bytewise, of a UTF-8 byte, as DuckDB counts them.
     """
 
     name: str
@@ -39,6 +40,7 @@ class Field:
     column: str | None = None
     weight: float = 1.0
     stem: bool = True
+    bytewise: bool = False
 
     @property
     def col(self) -> Column:
@@ -134,11 +136,11 @@ def is_pattern(w: str) -> bool:
     return w.startswith("%") or w.startswith("*") or w.endswith("*")
 
 
-def term_test(w: str) -> Callable[[Column], Column]:
-    """Whether a token fits a fuzzy word or one with wildcards."""
+def term_test(w: str, bytewise: bool = False) -> Callable[[Column], Column]:
+    """Whether a token fits a fuzzy word (edits of characters, or of bytes) or one with wildcards."""
     if w.startswith("%"):
         edits, word = len(w) - len(w.lstrip("%")), w.strip("%").lower()
-        return lambda x: F.levenshtein(x, F.lit(word), edits) >= 0
+        return lambda x: within_edits(x, F.lit(word), edits, bytewise)
     word = w.strip("*").lower()
     if w.startswith("*"):
         return (lambda x: x.contains(word)) if w.endswith("*") else (lambda x: x.endswith(word))
@@ -153,7 +155,7 @@ def indexed(f: Field, schema: Schema) -> Column:
 
 def _word(f: Field, w: str, schema: Schema) -> Column:
     t = indexed(f, schema)
-    hit = F.exists(t, term_test(w)) if is_pattern(w) else F.array_contains(tokens(f.col), w.lower())
+    hit = F.exists(t, term_test(w, f.bytewise)) if is_pattern(w) else F.array_contains(tokens(f.col), w.lower())
     if f.stem and (w.startswith("%") or not is_pattern(w)):
         base = stem(w.strip("%").lower(), schema.language)
         hit = hit | F.array_contains(with_stem(t, base, schema.language), base)
@@ -251,11 +253,11 @@ def bm25(df: DataFrame, key: str, text: str, words: list[str], k1: float = 1.2,
     return both.where(hit).select(key, score.alias("score"))
 
 
-def spelling(df: DataFrame, text: str, words: list[str], distance: int = 1) -> DataFrame:
-    """For each word that is not in the vocabulary, the vocabulary's words within the distance and their share of rows."""
+def spelling(df: DataFrame, text: str, words: list[str], distance: int = 1, bytewise: bool = False) -> DataFrame:
+    """For each word that is not in the vocabulary, the vocabulary's words within the distance (in characters, or bytes) and their share of rows."""
     words = sorted({w.lower() for w in words})
     vocabulary = df.select(F.explode(F.array_distinct(tokens(text))).alias("candidate")).groupBy("candidate").agg(F.count("*").alias("rows"))
-    near = vocabulary.select("candidate", "rows", F.explode(F.array(*[F.lit(w) for w in words])).alias("word")).where(F.levenshtein("word", "candidate", distance) >= 0)
+    near = vocabulary.select("candidate", "rows", F.explode(F.array(*[F.lit(w) for w in words])).alias("word")).where(within_edits(F.col("word"), F.col("candidate"), distance, bytewise))
     known = near.where("word = candidate").select("word")
     total = df.agg(F.count("*").alias("_n")).withColumn("_one", F.lit(1))
     out = near.join(known, "word", "left_anti").withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")
