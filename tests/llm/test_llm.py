@@ -328,6 +328,17 @@ def test_lines_are_all_compared_when_few_documents_give_the_order(spark, docs, m
     assert sorted(map(tuple, queries.op5_lines(spark, FOLDER).collect()), key=str) == want
 
 
+def test_all_documents_give_the_order_of_tokens(spark, monkeypatch):
+    """One token is in all documents and ranks last; each document has one of its own, and those rank just below."""
+    monkeypatch.setattr(lines, "SAMPLE", 2)
+    df = spark.range(40).select(F.col("id").alias("_k"), F.concat_ws(" ", F.lit("shared"), F.concat(F.lit("own"), "id")).alias("_text"))
+    bucket = lambda c: F.xxhash64(c).bitwiseAND(lines.BUCKETS - 1).cast("int")
+    ranks = lines._rank_table(df)
+    got = df.select(F.get(ranks, bucket(F.split("_text", " ")[1])).alias("own"), F.get(ranks, bucket(F.lit("shared"))).alias("shared")).collect()
+    top = lines.BUCKETS // 2 - 1
+    assert {r.shared for r in got} == {top} and sorted(r.own for r in got) == list(range(top - 40, top))
+
+
 # 6
 
 
