@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_, xor
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,9 +72,9 @@ def set_range(c: Column | str, offset: int, patch: str) -> Column:
 
 def bytes_of(c: Column | str) -> Column:
     """Bytes as an array of numbers 0 to 255."""
-    h = F.hex(col(c).cast("binary"))
-    n = F.octet_length(col(c))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))).otherwise(F.array().cast("array<int>"))
+    b = col(c).cast("binary")
+    chars = F.split(F.decode(b, "ISO-8859-1"), "")  # one a byte, with the byte's number
+    return F.when(F.octet_length(b) > 0, F.transform(chars, F.ascii)).otherwise(F.array().cast("array<int>"))
 
 
 def get_bit(c: Column | str, offset: int) -> Column:
@@ -98,38 +101,38 @@ def bit_position(c: Column | str, target: int) -> Column:
     return F.when((at < 0) & (F.size(b) > 0), F.size(bits)).otherwise(at) if target == 0 else at
 
 
-def bit_op(op: str, *cs: Column | str) -> Column:
-    """AND, OR, XOR, NOT, DIFF, DIFF1, ANDOR, ONE over strings padded with zeros to the longest, as hex."""
-    rows = [bytes_of(c) for c in cs]
+def _bit_op(op: str, *cs: bytes | None) -> str:
+    """The strings as one number each, so that an operation is one step whatever their length."""
+    n = max(len(c or b"") for c in cs)
+    first, *rest = [int.from_bytes((c or b"").ljust(n, b"\0"), "big") for c in cs]
     if op == "NOT":
-        out = F.transform(rows[0], lambda x: 255 - x)
+        out = first ^ ((1 << 8 * n) - 1)
+    elif op == "AND":
+        out = reduce(and_, rest, first)
+    elif op == "OR":
+        out = reduce(or_, rest, first)
+    elif op == "XOR":
+        out = reduce(xor, rest, first)
+    elif op == "DIFF":
+        out = first & ~reduce(or_, rest)
+    elif op == "DIFF1":
+        out = reduce(or_, rest) & ~first
+    elif op == "ANDOR":
+        out = first & reduce(or_, rest)
     else:
-        both = lambda f: lambda a, b: F.zip_with(a, b, lambda x, y: f(F.coalesce(x, F.lit(0)), F.coalesce(y, F.lit(0))))
-        land, lor, lxor = (both(lambda x, y, m=m: getattr(x, m)(y)) for m in ("bitwiseAND", "bitwiseOR", "bitwiseXOR"))
-        minus = both(lambda x, y: x.bitwiseAND(255 - y))
-
-        def fold(f, xs):
-            out = xs[0]
-            for x in xs[1:]:
-                out = f(out, x)
-            return out
-
-        if op in ("AND", "OR", "XOR"):
-            out = fold({"AND": land, "OR": lor, "XOR": lxor}[op], rows)
-        elif op == "DIFF":
-            out = minus(rows[0], fold(lor, rows[1:]))
-        elif op == "DIFF1":
-            out = minus(fold(lor, rows[1:]), rows[0])
-        elif op == "ANDOR":
-            out = land(rows[0], fold(lor, rows[1:]))
-        elif op == "ONE":
-            seen, twice = rows[0], F.transform(rows[0], lambda x: F.lit(0))
-            for r in rows[1:]:
-                seen, twice = lor(seen, r), lor(twice, land(seen, r))
-            out = minus(seen, twice)
-        else:
-            raise ValueError(op)
-    return F.array_join(F.transform(out, lambda x: F.lpad(F.hex(x), 2, "0")), "")
+        seen, twice = first, 0
+        for x in rest:
+            seen, twice = seen | x, twice | (seen & x)
+        out = seen & ~twice
+    return out.to_bytes(n, "big").hex().upper()
+
+
+def bit_op(op: str, *cs: Column | str) -> Column:
+    """AND, OR, XOR, NOT, DIFF, DIFF1, ANDOR, ONE over strings padded with zeros to the longest, as hex. In Arrow batches."""
+    if op not in ("AND", "OR", "XOR", "NOT", "DIFF", "DIFF1", "ANDOR", "ONE"):
+        raise ValueError(op)
+    cs = cs[:1] if op == "NOT" else cs
+    return F.udf(lambda *xs: _bit_op(op, *xs), "string", useArrow=True)(*[col(c).cast("binary") for c in cs])
 
 
 def infer_kind(c: Column | str) -> Column:
