@@ -102,6 +102,24 @@ def test_vectors(spark):
     assert [tuple(r) for r in vectors.nearest(v, [1, 0]).collect()] == [("east", 1.0), ("north", 0.5), ("west", 0.0)]
 
 
+def test_neighbours_in_blocks(spark, monkeypatch):
+    """As by comparing all pairs at once, also with ties, odd vectors and more rows than a block."""
+    import random
+
+    from pyspark.sql import Window
+
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    rng = random.Random(3)
+    made = [("a", i, [rng.gauss(0, 1) for _ in range(5)]) for i in range(60)] + [("a", 100 + i, [1.0, 2.0, 0.5, -1.0, 3.0]) for i in range(20)]
+    odd = [("b", 1, None), ("b", 2, [1.0, None]), ("b", 3, [0.0, 0.0]), ("b", 4, [1.0, 2.0]), ("b", 5, [1.0, 2.0, 3.0]), ("b", 6, [2.0, 1.0]), ("b", 7, [float("nan"), 1.0]), (None, 8, [1.0, 1.0]), ("c", 9, [1.0, 1.0])]
+    df = spark.createDataFrame(made + odd, "key string, element long, vector array<double>")
+    wanted = df.where("element % 3 = 1 or key = 'b'")
+    q = wanted.select("key", F.col("element").alias("of"), F.col("vector").alias("_q"))
+    pairs = df.join(q, "key").where("element <> of").select("key", "of", "element", vectors.similarity(F.col("vector"), F.col("_q")).alias("score"))
+    want = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("key", "of").orderBy(F.desc("score"), "element"))).where("rank <= 4")
+    assert sorted(map(str, vectors.neighbours(df, wanted, 4).collect())) == sorted(map(str, want.collect()))
+
+
 def test_geo(spark):
     p = spark.createDataFrame([("s", "Palermo", 13.361389, 38.115556), ("s", "Catania", 15.087269, 37.502669)], "key string, member string, lon double, lat double")
     c = places.add(p)
