@@ -339,6 +339,19 @@ def test_all_documents_give_the_order_of_tokens(spark, monkeypatch):
     assert {r.shared for r in got} == {top} and sorted(r.own for r in got) == list(range(top - 40, top))
 
 
+def test_numbers_of_tokens_are_compiled(spark):
+    """No function is interpreted for each token, and the numbers are those that F.transform gives."""
+    df = spark.createDataFrame([("b a  ü b",), ("",), (" ",), ("a " * 3000,), (None,)], "line string")
+    ranks = lines._rank_table(df.select(F.col("line").alias("_text")))
+    ids = df.select("line", lines._token_ids(F.col("line"), ranks).alias("ids"))
+    assert "lambda" not in ids._jdf.queryExecution().optimizedPlan().toString().lower().replace("lambdavariable", "")
+    h = F.transform(F.array_remove(F.split("line", " "), ""), lambda x: F.xxhash64(x))
+    rank = lambda x: F.get(ranks, x.bitwiseAND(lines.BUCKETS - 1).cast("int")).cast("long")
+    want = F.array_sort(F.array_distinct(F.transform(h, lambda x: F.shiftleft(rank(x), 48).bitwiseOR(F.shiftrightunsigned(x, 16)))))
+    got = ids.withColumn("want", want).collect()
+    assert [r.ids for r in got] == [r.want for r in got] and [r.ids and len(r.ids) for r in got] == [3, [], [], 1, None]
+
+
 # 6
 
 
