@@ -12,6 +12,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from fenwright.llm import graph, hilbert, itq, lines, mincut, mixing, packing, ppm, queries, rules, shingle_join, weak
@@ -339,6 +340,43 @@ def test_all_documents_give_the_order_of_tokens(spark, monkeypatch):
     assert {r.shared for r in got} == {top} and sorted(r.own for r in got) == list(range(top - 40, top))
 
 
+def test_pairs_of_lines_are_bounded_without_division(spark):
+    """The bounds hold for the same pairs as the least intersection that they stand for, and compute no quotient."""
+    rng = random.Random(5)
+    rows = []
+    for _ in range(3000):
+        a = {rng.randrange(90) for _ in range(rng.randint(5, 60))}
+        b = (a | {rng.randrange(90) for _ in range(rng.randint(0, 6))}) - {rng.randrange(90) for _ in range(rng.randint(0, 6))}
+        bits = [sum(1 << k for k in range(20) if sum(x % 20 == k for x in s) % 2) for s in (a, b)]
+        rows.append((rng.randrange(2), bits[0], len(a), rng.randrange(9), rng.randrange(2), bits[1], len(b), rng.randrange(9)))
+    pairs = spark.createDataFrame(rows, "xd long, xs long, xn int, xi int, yd long, ys long, yn int, yi int")
+    side = lambda c: F.struct(*[F.col(c + k[0]).alias(k) for k in ("d", "sketch", "n")], F.col(c + "i").alias("i")).alias(c)
+    got = pairs.select("*", side("x"), side("y")).where(lines._may_match(85))
+    need = lambda r: -(-85 * (r[2] + r[6]) // 185)
+    may = lambda r: r[:2] != r[4:6] and min(r[2], r[6]) * 100 >= 85 * max(r[2], r[6]) and min(r[2] - r[3], r[6] - r[7]) >= need(r) and (r[1] ^ r[5]).bit_count() <= r[2] + r[6] - 2 * need(r)
+    want = sorted(filter(may, rows))
+    assert 0 < len(want) < len(rows) and sorted(tuple(r)[:8] for r in got.collect()) == want
+    assert " div " not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_of_lines_are_verified_by_one_intersection(spark):
+    """17 of 20 tokens are enough, 16 of 20 are not; the plan holds the intersection once."""
+    e = [Row(d=i, sketch=0) for i in range(3)]
+    full = spark.createDataFrame([(e[0], list(range(20))), (e[1], list(range(17))), (e[2], list(range(16)))], "e struct<d: long, sketch: long>, tokens array<long>")
+    pairs = spark.createDataFrame([(e[1], e[0]), (e[2], e[0])], "x struct<d: long, sketch: long>, y struct<d: long, sketch: long>")
+    got = lines._verified(pairs, full, 85)
+    assert [r.x.d for r in got.collect()] == [1]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("array_intersect") == 1
+
+
+def test_only_repeated_lines_are_grouped(spark):
+    rows = [(1, 7, 5, [1]), (1, 7, 5, [1]), (2, 7, 6, [2]), (3, 8, 5, [3]), (3, 9, 5, [4]), (3, 9, 5, [4])]
+    wide = spark.createDataFrame(rows, "d long, sketch long, n int, prefix array<long>")
+    for some_d in ([1, 3], [1, 2, 3]):  # the test may hold for others too
+        got = lines._sets(wide, lambda d: d.isin(some_d)).collect()
+        assert sorted(map(tuple, got)) == [(1, 7, 5, [1]), (2, 7, 6, [2]), (3, 8, 5, [3]), (3, 9, 5, [4])]
+
+
 def test_numbers_of_tokens_are_compiled(spark):
     """No function is interpreted for each token, and the numbers are those that F.transform gives."""
     df = spark.createDataFrame([("b a  ü b",), ("",), (" ",), ("a " * 3000,), (None,)], "line string")
